@@ -33,7 +33,7 @@ def _table(names, rows):
 
 
 def main(root: str, wanted: list[str]) -> int:
-    spark = build_session("compare", "local[8]", 8, {"spark.ui.enabled": "false", "spark.driver.memory": "16g"})
+    spark = build_session("compare", "local[8]", 8, {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "16g"})
     spark.sparkContext.setLogLevel("ERROR")
     db = duckdb.connect()
     db.execute("SET TimeZone='UTC'")

@@ -31,8 +31,8 @@ v_card AS (
 v_line AS (
   SELECT l.*, CAST(round(l_discount * 100) AS BIGINT) AS off,
          CAST(round(p_retailprice * 100) AS BIGINT) AS listc,
-         CAST('0x' || substr(md5(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber,
-              CAST(round(l_extendedprice * 100) AS BIGINT))), 1, 15) AS BIGINT) AS id
+         (l_orderkey * 8 + l_linenumber) * 268435456 + (l_partkey * 1000003 + l_suppkey * 10007
+              + CAST(round(l_extendedprice * 100) AS BIGINT)) % 268435456 AS id
   FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey),
 v_snapshot AS (
   SELECT id, l_orderkey AS run_id, l_partkey AS product_id, l_shipdate AS captured_at,
@@ -359,8 +359,8 @@ ORACLE["w5_latest_snapshot"] = q(
     f"SELECT product_id, id, captured_at, {two('pc')} AS price, in_stock FROM v_new", _newest
 )
 _errors = f"""v_err AS (
-  SELECT CAST('0x' || substr(md5(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber,
-              CAST(round(l_extendedprice * 100) AS BIGINT))), 1, 15) AS BIGINT) AS id, l_orderkey AS run_id,
+  SELECT (l_orderkey * 8 + l_linenumber) * 268435456 + (l_partkey * 1000003 + l_suppkey * 10007
+              + CAST(round(l_extendedprice * 100) AS BIGINT)) % 268435456 AS id, l_orderkey AS run_id,
    l_suppkey AS queue_id, CASE WHEN l_linenumber <> 6 THEN l_partkey END AS product_id, l_partkey AS pk, l_linenumber AS ln,
    CASE WHEN l_linenumber <> 3 THEN l_shipdate END AS created_at
   FROM lineitem WHERE l_returnflag = 'R')"""
@@ -648,12 +648,24 @@ ORACLE["u9_choose_source"] = q(
   WHERE contains(url, '#') OR NOT EXISTS (SELECT 1 FROM v_host o WHERE o.site = h.site AND contains(o.url, '#'))"""
 )
 _strip = r"'(?is)<!--.*?-->|<(?:script|style)\b[^>]*>(.*?)</(?:script|style)\s*>|<[a-z/!?][^>]*>'"
-ORACLE["t19_page_text"] = rf"""WITH b AS (
- SELECT page_id, html,
-  html_unescape(regexp_replace(regexp_replace(html, '(?is)^.*?<body\b[^>]*>', ''), {_strip}, '\1', 'g')) AS txt FROM pages)
-SELECT page_id, trim(regexp_replace(html_unescape(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title\s*>', 1)), '\s+', ' ', 'g')) AS title,
- trim(html_unescape(regexp_replace(regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1\s*>', 1), {_strip}, '\1', 'g'))) AS heading,
- length(txt) AS text_length, md5(txt) AS text_digest FROM b"""
+def _plain_text(value: str) -> str:
+    """The entities these pages use, the ampersand last."""
+    for name, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"')):
+        value = f"replace({value}, '{name}', '{char}')"
+    return f"regexp_replace({value}, '&amp;?', '&', 'g')"
+
+
+_body = rf"regexp_replace(regexp_replace(html, '(?is)^.*?<body\b[^>]*>', ''), {_strip}, '\1', 'g')"
+_head = r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title\s*>', 1)"
+_h1 = rf"regexp_replace(regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1\s*>', 1), {_strip}, '\1', 'g')"
+ORACLE["t19_page_text"] = rf"""WITH b AS (SELECT page_id, html, {_plain_text(_body)} AS txt FROM pages)
+SELECT page_id, trim(regexp_replace({_plain_text(_head)}, '\s+', ' ', 'g')) AS title,
+ trim({_plain_text(_h1)}) AS heading, length(txt) AS text_length, md5(txt) AS text_digest FROM b"""
+ORACLE["t19_page_cards"] = rf"""WITH b AS (SELECT page_id, url, {_plain_text(_body)} AS txt FROM pages),
+f AS (SELECT *, regexp_matches(txt, '[0-9][0-9,. ]*(₴|грн)') OR contains(txt, 'sqpp') AS priced FROM b)
+SELECT page_id, url AS page_url, priced AS has_card, CASE WHEN NOT priced THEN 'parse_failed' END AS error_code,
+ CASE WHEN NOT priced THEN false END AS is_transient FROM f"""
+
 ORACLE["t21_breaker_report"] = q(
     """SELECT host, count(*) AS requests,
   CASE WHEN max(ts) > min(ts) THEN round(CAST(count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0) AS DECIMAL(28, 10)), 2)::DOUBLE ELSE 0.0 END AS approximate_rps,

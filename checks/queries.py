@@ -135,7 +135,7 @@ def _(spark, root):
 def _(spark, root):
     """The same answer when nearly every product is treated as too large for one task."""
     return product_plans.product_analytics(
-        star.snapshots(spark, root), probe=star.product_probe(spark, root), hot_rows=30
+        star.snapshots(spark, root), probe=star.product_probe(spark, root), hot_rows=40
     )
 
 
@@ -259,7 +259,7 @@ def _(spark, root):
 @query("w4_change_points_split")
 def _(spark, root):
     return history.change_points(
-        star.snapshots(spark, root), star.product_probe(spark, root), hot_rows=30
+        star.snapshots(spark, root), star.product_probe(spark, root), hot_rows=40
     ).select("id", "product_id", "captured_at", "price", "old_price", "promo_flag", "in_stock")
 
 
@@ -690,11 +690,10 @@ def _(spark, root):
 def _(spark, root):
     from pricetrail.functions import parsing
 
-    return star.pages(spark, root).select(
-        "page_id", parsing.title(F.col("html")).alias("title"),
-        parsing.heading(F.col("html")).alias("heading"),
-        F.length(parsing.body_text(F.col("html"))).cast("bigint").alias("text_length"),
-        F.md5(parsing.body_text(F.col("html"))).alias("text_digest"),
+    rows = parsing.with_page_text(star.pages(spark, root))
+    return rows.select(
+        "page_id", F.col("_title").alias("title"), F.col("_heading").alias("heading"),
+        F.length("_text").cast("bigint").alias("text_length"), F.md5("_text").alias("text_digest"),
     )
 
 
@@ -723,7 +722,7 @@ def _(spark, root):
 
 @query("t21_breaker_trips_split")
 def _(spark, root):
-    return breaker.breaker_trips(star.fetches(spark, root), 3, 60, hot_rows=20)
+    return breaker.breaker_trips(star.fetches(spark, root), 3, 60, hot_rows=80)
 
 
 def _legacy(spark, root):

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Java's (?U) makes \s follow the Unicode White_Space property.
-_EDGES = r"(?U)^\s+|\s+$"
+# The characters with the Unicode White_Space property.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def trim_nullable(value: Column, length: int) -> Column:
@@ -22,7 +25,7 @@ def trim_required(value: Column, length: int) -> Column:
 
 def strip(value: Column) -> Column:
     """Trim any Unicode whitespace from both ends."""
-    return F.regexp_replace(value, _EDGES, "")
+    return F.btrim(value, F.lit(WHITESPACE))
 
 
 def is_blank(value: Column) -> Column:

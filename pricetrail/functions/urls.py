@@ -6,35 +6,43 @@ from pyspark.sql import Column, functions as F
 
 from pricetrail import schemas as S
 from pricetrail.functions import text
+from pricetrail.functions.bind import let
 
 # scheme : // user@ host :port path ?query #fragment
 _PARTS = r"^([A-Za-z][A-Za-z0-9+.\-]*):(?://((?:[^/?#@]*@)?)([^/?#:]*)(?::([0-9]*))?)?([^?#]*)(\?[^#]*)?(#.*)?$"
 _NEEDS_ESCAPE = r'[^\x21-\x7E]|["<>\\^`{|}]'
 
 
-def _part(url: Column, group: int) -> Column:
-    return F.regexp_extract(url, _PARTS, group)
+_FIELDS = ("scheme", "user", "host", "port", "path", "query", "fragment")
 
 
-def is_absolute(url: Column) -> Column:
-    """An absolute URL; web schemes must also name a host."""
-    clean = text.strip(url)
-    scheme = F.lower(_part(clean, 1))
-    web = scheme.isin("http", "https")
-    return F.coalesce((scheme != "") & (~web | (_part(clean, 3) != "")), F.lit(False))
+def parts(url: Column) -> Column:
+    """Struct of the URL's parts as written, scheme and host in lower case."""
+
+    def split(clean: Column) -> Column:
+        found = [F.regexp_extract(clean, _PARTS, i + 1) for i in range(len(_FIELDS))]
+        found[0], found[2] = F.lower(found[0]), F.lower(found[2])
+        return F.struct(*[c.alias(n) for c, n in zip(found, _FIELDS)])
 
+    return let(text.strip(url), split)
 
-def scheme(url: Column) -> Column:
-    return F.lower(_part(text.strip(url), 1))
+
+def _absolute(p: Column) -> Column:
+    web = p["scheme"].isin("http", "https")
+    return F.coalesce((p["scheme"] != "") & (~web | (p["host"] != "")), F.lit(False))
+
+
+def is_absolute(url: Column) -> Column:
+    """An absolute URL; web schemes must also name a host."""
+    return let(parts(url), _absolute)
 
 
 def host(url: Column) -> Column:
-    return F.lower(_part(text.strip(url), 3))
+    return parts(url)["host"]
 
 
-def path(url: Column) -> Column:
-    found = _part(text.strip(url), 5)
-    return F.when(found == "", "/").otherwise(found)
+def _path(p: Column) -> Column:
+    return F.when(p["path"] == "", "/").otherwise(p["path"])
 
 
 def percent_encode(value: Column) -> Column:
@@ -65,22 +73,21 @@ def remove_dot_segments(value: Column) -> Column:
 
 def canonical(url: Column, keep_query: bool = True, keep_fragment: bool = True) -> Column:
     """Lower-case scheme and host, drop the default port, resolve and escape the path."""
-    clean = text.strip(url)
-    name = F.lower(_part(clean, 1))
-    port = _part(clean, 4)
-    default = ((name == "https") & (port == "443")) | ((name == "http") & (port == "80"))
-    shown_port = F.when((port == "") | default, "").otherwise(F.concat(F.lit(":"), port))
-    raw_path = _part(clean, 5)
-    full_path = F.when(raw_path == "", "/").otherwise(remove_dot_segments(raw_path))
-    out = [
-        name, F.lit("://"), _part(clean, 2), F.lower(_part(clean, 3)), shown_port,
-        percent_encode(full_path),
-    ]
-    if keep_query:
-        out.append(percent_encode(_part(clean, 6)))
-    if keep_fragment:
-        out.append(percent_encode(_part(clean, 7)))
-    return F.when(is_absolute(url), F.concat(*out))
+
+    def build(p: Column) -> Column:
+        default = ((p["scheme"] == "https") & (p["port"] == "443")) | (
+            (p["scheme"] == "http") & (p["port"] == "80")
+        )
+        port = F.when((p["port"] == "") | default, "").otherwise(F.concat(F.lit(":"), p["port"]))
+        tail = [let(let(_path(p), remove_dot_segments), percent_encode)]
+        if keep_query:
+            tail.append(percent_encode(p["query"]))
+        if keep_fragment:
+            tail.append(percent_encode(p["fragment"]))
+        whole = F.concat(p["scheme"], F.lit("://"), p["user"], p["host"], port, *tail)
+        return F.when(_absolute(p), whole)
+
+    return let(parts(url), build)
 
 
 def product_url(url: Column) -> Column:
@@ -95,29 +102,34 @@ def page_url(url: Column) -> Column:
 
 def resolve(href: Column, base: Column) -> Column:
     """An href as seen from ``base``, canonical; null when it cannot be resolved."""
-    ref = text.strip(href)
-    origin = F.concat(
-        _part(base, 1), F.lit("://"), _part(base, 2), _part(base, 3),
-        F.when(_part(base, 4) == "", "").otherwise(F.concat(F.lit(":"), _part(base, 4))),
-    )
-    base_path = F.when(_part(base, 5) == "", "/").otherwise(_part(base, 5))
-    folder = F.regexp_replace(base_path, r"[^/]*$", "")
-    joined = (
-        F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), ref)
-        .when(ref.startswith("//"), F.concat(_part(base, 1), F.lit(":"), ref))
-        .when(ref.startswith("/"), F.concat(origin, ref))
-        .when(ref == "", base)
-        .when(ref.startswith("?"), F.concat(origin, base_path, ref))
-        .when(ref.startswith("#"), F.concat(origin, base_path, _part(base, 6), ref))
-        .otherwise(F.concat(origin, folder, ref))
-    )
-    return canonical(joined)
+
+    def join(x: Column) -> Column:
+        ref, p = x["ref"], x["base"]
+        port = F.when(p["port"] == "", "").otherwise(F.concat(F.lit(":"), p["port"]))
+        origin = F.concat(p["scheme"], F.lit("://"), p["user"], p["host"], port)
+        folder = F.regexp_replace(_path(p), r"[^/]*$", "")
+        return (
+            F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), ref)
+            .when(ref.startswith("//"), F.concat(p["scheme"], F.lit(":"), ref))
+            .when(ref.startswith("/"), F.concat(origin, ref))
+            .when(ref == "", F.concat(origin, _path(p), p["query"]))
+            .when(ref.startswith("?"), F.concat(origin, _path(p), ref))
+            .when(ref.startswith("#"), F.concat(origin, _path(p), p["query"], ref))
+            .otherwise(F.concat(origin, folder, ref))
+        )
+
+    both = F.struct(text.strip(href).alias("ref"), parts(base).alias("base"))
+    return canonical(let(both, join))
 
 
 def slug(url: Column) -> Column:
     """The last non-blank path segment of an absolute URL."""
-    segments = F.filter(F.split(percent_encode(path(url)), "/"), lambda s: s != "")
-    return F.when(is_absolute(url), F.try_element_at(segments, F.lit(-1)))
+
+    def last(p: Column) -> Column:
+        segments = F.filter(F.split(let(_path(p), percent_encode), "/"), lambda s: s != "")
+        return F.when(_absolute(p), F.try_element_at(segments, F.lit(-1)))
+
+    return let(parts(url), last)
 
 
 def legacy_slug(url: Column) -> Column:
@@ -130,22 +142,33 @@ def legacy_slug(url: Column) -> Column:
 def on_site(url: Column, site_host: str | Column) -> Column:
     """Https and the configured host."""
     wanted = site_host if isinstance(site_host, Column) else F.lit(site_host)
-    return F.coalesce((scheme(url) == "https") & (host(url) == F.lower(wanted)), F.lit(False))
+    return let(
+        parts(url),
+        lambda p: F.coalesce((p["scheme"] == "https") & (p["host"] == F.lower(wanted)), F.lit(False)),
+    )
 
 
 def looks_like_product(url: Column, category_url: Column) -> Column:
     """P25: one path segment, not the category itself, no reserved prefix."""
-    own = path(url)
-    bare = F.lower(F.regexp_replace(own, r"^/+|/+$", ""))
-    reserved = F.lit(False)
-    for prefix in S.PRODUCT_PATH_DENY_PREFIXES:
-        reserved = reserved | bare.startswith(prefix)
-    return (
-        (text.strip(bare) != "")
-        & (F.lower(own) != F.lower(path(category_url)))
-        & ~bare.contains("/")
-        & ~reserved
-    )
+
+    def judge(x: Column) -> Column:
+        own, bare = x["own"], x["bare"]
+        reserved = F.lit(False)
+        for prefix in S.PRODUCT_PATH_DENY_PREFIXES:
+            reserved = reserved | bare.startswith(prefix)
+        return (
+            (text.strip(bare) != "") & (own != x["category"]) & ~bare.contains("/") & ~reserved
+        )
+
+    def paths(x: Column) -> Column:
+        own = F.lower(_path(x["own"]))
+        return F.struct(
+            own.alias("own"), F.btrim(own, F.lit("/")).alias("bare"),
+            F.lower(_path(x["category"])).alias("category"),
+        )
+
+    both = F.struct(parts(url).alias("own"), parts(category_url).alias("category"))
+    return let(let(both, paths), judge)
 
 
 def idempotency_key(run_id: Column, url: Column) -> Column:
