@@ -53,19 +53,20 @@ def store_observations(
     snapshots: DataFrame,
     now: Column | None = None,
     latest: DataFrame | None = None,
+    next_snapshot_id: int | None = None,
     hot_rows: int | None = None,
 ) -> StoreResult:
     """Apply a batch of observations in ``seq`` order (unique, not negative).
 
     New ids are the next free id plus the creating ``seq``: unique, in arrival order, and
-    given without ranking the batch. Pass ``latest`` (one newest snapshot per product) to
-    avoid reading the whole history.
+    given without ranking the batch. Pass ``latest`` (one newest snapshot per product) and
+    ``next_snapshot_id`` to leave the stored history unread.
     """
     now = F.current_timestamp() if now is None else now
     base = _next_id(products)
     clean = normalize_observations(observations, now)
     placed = cut(identity.resolve_products(clean, products, base, hot_rows))
-    rows = _stored_rows(placed, snapshots, latest, hot_rows)
+    rows = _stored_rows(placed, snapshots, latest, next_snapshot_id, hot_rows)
     created = rows.where("snapshot_created")
     new_snapshots = created.select(
         F.col("snapshot_id").alias("id"), "run_id", "product_id",
@@ -80,9 +81,10 @@ def _state() -> Column:
 
 
 def _stored_rows(
-    placed: DataFrame, snapshots: DataFrame, latest: DataFrame | None, hot_rows: int | None
+    placed: DataFrame, snapshots: DataFrame, latest: DataFrame | None,
+    next_snapshot_id: int | None, hot_rows: int | None,
 ) -> DataFrame:
-    base = _next_id(snapshots)
+    base = _next_id(snapshots) if next_snapshot_id is None else F.lit(next_snapshot_id).cast("bigint")
     touched = placed.select("product_id").distinct()
     newest = latest_snapshots(snapshots.join(touched, "product_id", "left_semi")) if latest is None else (
         latest.join(touched, "product_id", "left_semi")

@@ -36,51 +36,69 @@ def _of_chosen_products(snapshots: DataFrame, selected: DataFrame | None) -> Dat
     return snapshots.join(products, "product_id", "left_semi")
 
 
+def _shown_products(products: DataFrame) -> DataFrame:
+    """Product columns as shown; formatted once per product, before any join."""
+    return products.select(
+        F.col("id").alias("p_id"), "name", "external_id", "url", "slug",
+        display.format_unit(F.col("pack_value"), F.col("pack_unit")).alias("unit"),
+        "updated_at",
+    )
+
+
 def products_grid(snapshots: DataFrame, products: DataFrame, selected: DataFrame | None = None) -> DataFrame:
     """Q4."""
-    s, p = _chosen(snapshots, selected).alias("s"), products.alias("p")
-    return s.join(p, F.col("s.product_id") == F.col("p.id")).select(
+    s, p = _chosen(snapshots, selected).alias("s"), _shown_products(products)
+    return s.join(p, F.col("s.product_id") == F.col("p_id")).select(
         F.col("s.id").alias("snapshot_id"),
-        F.col("p.id").alias("id"),
-        F.col("p.name").alias("name"),
-        display.sku_or_empty(F.col("p.external_id")).alias("sku"),
-        F.col("p.url").alias("url"),
+        F.col("p_id").alias("id"),
+        "name",
+        display.sku_or_empty(F.col("external_id")).alias("sku"),
+        "url",
         pricing.snapshot_price(F.col("s.price"), F.col("s.old_price")).alias("price"),
-        display.format_unit(F.col("p.pack_value"), F.col("p.pack_unit")).alias("unit"),
-        F.col("p.updated_at").alias("updated_at"),
+        "unit",
+        "updated_at",
     )
 
 
-def product_details(
-    snapshots: DataFrame, products: DataFrame, runs: DataFrame,
-    selected: DataFrame | None = None, default_source: str = S.DEFAULT_SOURCE,
-) -> DataFrame:
-    """Q5."""
-    s, p, r = _chosen(snapshots, selected).alias("s"), products.alias("p"), runs.alias("r")
-    joined = s.join(p, F.col("s.product_id") == F.col("p.id")).join(
-        r, F.col("s.run_id") == F.col("r.id"), "left"
-    )
-    return joined.select(
-        F.col("p.id").alias("id"),
+def _cards(
+    rows: DataFrame, products: DataFrame, runs: DataFrame, default_source: str
+) -> tuple[DataFrame, list[Column]]:
+    """``rows`` (snapshots, aliased ``s``) joined to products and runs, and the card columns."""
+    r = runs.select(F.col("id").alias("r_id"), F.col("source").alias("r_source"))
+    joined = rows.alias("s").join(
+        _shown_products(products), F.col("s.product_id") == F.col("p_id")
+    ).join(r, F.col("s.run_id") == F.col("r_id"), "left")
+    card = [
+        F.col("p_id").alias("id"),
         F.col("s.id").alias("snapshot_id"),
         F.col("s.run_id").alias("run_id"),
-        F.col("p.name").alias("name"),
-        F.col("p.external_id").alias("sku"),
-        F.col("p.url").alias("url"),
-        F.col("p.slug").alias("slug"),
-        display.format_unit(F.col("p.pack_value"), F.col("p.pack_unit")).alias("unit"),
+        F.col("name"),
+        F.col("external_id").alias("sku"),
+        F.col("url"),
+        F.col("slug"),
+        F.col("unit"),
         F.col("s.price").alias("current_price"),
         F.col("s.old_price").alias("old_price"),
         pricing.discount_percent(F.col("s.price"), F.col("s.old_price")).alias("discount_percent"),
         F.col("s.promo_flag").alias("promo_flag"),
         F.col("s.in_stock").alias("in_stock"),
-        F.col("p.updated_at").alias("updated_at"),
+        F.col("updated_at"),
         F.col("s.captured_at").alias("captured_at"),
-        pricing.run_source_or_default(F.col("r.source"), default_source).alias("source"),
+        pricing.run_source_or_default(F.col("r_source"), default_source).alias("source"),
         display.missing_text().alias("brand"),
         display.missing_text().alias("category"),
         display.missing_text().alias("image_url"),
-    )
+    ]
+    return joined, card
+
+
+def product_details(
+    snapshots: DataFrame, products: DataFrame, runs: DataFrame,
+    selected: DataFrame | None = None, default_source: str = S.DEFAULT_SOURCE,
+) -> DataFrame:
+    """Q5."""
+    joined, card = _cards(_chosen(snapshots, selected), products, runs, default_source)
+    return joined.select(*card)
 
 
 def product_history(
@@ -108,18 +126,14 @@ def newest_first(rows: DataFrame) -> DataFrame:
     return rows.orderBy("product_id", F.desc("captured_at"), F.desc("id"))
 
 
-def product_analytics(
-    snapshots: DataFrame, selected: DataFrame | None = None,
-    probe: DataFrame | None = None, hot_rows: int | None = None,
+def _analytics_rows(
+    rows: DataFrame, selected: DataFrame | None, probe: DataFrame | None, hot_rows: int | None
 ) -> DataFrame:
-    """Q7: the analytics of every snapshot within its product's history, one shuffle."""
-    base = _of_chosen_products(snapshots, selected).select(
-        "id", "product_id", "captured_at", "price", "promo_flag", "in_stock"
-    )
+    """Snapshots with the aggregates and earlier prices of their product beside them."""
     price = F.col("price")
     place = F.when(price.isNotNull(), F.struct("captured_at", "id"))
-    rows = (
-        history(base, probe, hot_rows)
+    out = (
+        history(rows, probe, hot_rows)
         .running(last={"previous_price": price})
         .whole(
             {
@@ -138,25 +152,46 @@ def product_analytics(
         )
         .result
     )
-    if selected is not None:
-        rows = _chosen(rows, selected)
-    previous, first = F.col("previous_price"), F.col("first_observed_price")
-    return rows.select(
-        F.col("id").alias("snapshot_id"),
-        "product_id",
-        "history_points_count", "price_points_count", "promo_moments_count", "in_stock_moments_count",
-        F.col("captured_at").alias("selected_captured_at"),
-        "first_captured_at", "last_captured_at",
+    return out if selected is None else _chosen(out, selected)
+
+
+def _analytics_columns(prefix: str = "") -> list[Column]:
+    def at(name: str) -> Column:
+        return F.col(f"{prefix}{name}")
+
+    price, previous, first = at("price"), at("previous_price"), at("first_observed_price")
+    return [
+        at("id").alias("snapshot_id"),
+        *[at(n).alias(n) for n in (
+            "history_points_count", "price_points_count", "promo_moments_count",
+            "in_stock_moments_count",
+        )],
+        at("captured_at").alias("selected_captured_at"),
+        at("first_captured_at").alias("first_captured_at"),
+        at("last_captured_at").alias("last_captured_at"),
         price.alias("selected_price"),
-        "previous_price", "first_observed_price", "latest_observed_price",
-        "min_price", "max_price",
-        pricing.average_price(F.col("_total"), F.col("price_points_count")).alias("average_price"),
-        pricing.amount_delta(F.col("min_price"), F.col("max_price")).alias("price_spread"),
+        *[at(n).alias(n) for n in (
+            "previous_price", "first_observed_price", "latest_observed_price", "min_price", "max_price",
+        )],
+        pricing.average_price(at("_total"), at("price_points_count")).alias("average_price"),
+        pricing.amount_delta(at("min_price"), at("max_price")).alias("price_spread"),
         pricing.amount_delta(previous, price).alias("change_from_previous_amount"),
         pricing.price_change_percent(previous, price).alias("change_from_previous_percent"),
         pricing.amount_delta(first, price).alias("change_from_first_amount"),
         pricing.price_change_percent(first, price).alias("change_from_first_percent"),
+    ]
+
+
+def product_analytics(
+    snapshots: DataFrame, selected: DataFrame | None = None,
+    probe: DataFrame | None = None, hot_rows: int | None = None,
+) -> DataFrame:
+    """Q7: the analytics of every snapshot within its product's history, one shuffle."""
+    base = _of_chosen_products(snapshots, selected).select(
+        "id", "product_id", "captured_at", "price", "promo_flag", "in_stock"
     )
+    rows = _analytics_rows(base, selected, probe, hot_rows)
+    return rows.select(*_analytics_columns(), "product_id")
 
 
 def price_points(
@@ -195,15 +230,17 @@ def product_analysis(
     Snapshots without a product are absent, as a missing card is. The history of a
     snapshot is the pages of its product.
     """
-    cards = product_details(snapshots, products, runs, selected, default_source)
-    stats = product_analytics(snapshots, selected, probe, hot_rows)
-    card = F.struct(*[F.col(f"c.{n}").alias(n) for n in cards.columns])
-    numbers = F.struct(*[F.col(f"a.{n}").alias(n) for n in stats.columns if n != "product_id"])
-    joined = cards.alias("c").join(stats.alias("a"), F.col("c.snapshot_id") == F.col("a.snapshot_id"))
-    pages = F.ceil(F.col("a.history_points_count") / page_size).cast("bigint")
+    base = _of_chosen_products(snapshots, selected).select(
+        "id", "run_id", "product_id", "captured_at", "price", "old_price", "promo_flag", "in_stock"
+    )
+    # The rows stay partitioned by product from the windows through the product join.
+    rows = _analytics_rows(base, selected, probe, hot_rows)
+    joined, card = _cards(rows, products, runs, default_source)
+    pages = F.ceil(F.col("s.history_points_count") / page_size).cast("bigint")
     head = joined.select(
-        F.col("c.snapshot_id").alias("snapshot_id"), F.col("c.id").alias("product_id"),
-        card.alias("product_card"), numbers.alias("analytics"), pages.alias("history_pages"),
+        F.col("s.id").alias("snapshot_id"), F.col("p_id").alias("product_id"),
+        F.struct(*card).alias("product_card"),
+        F.struct(*_analytics_columns("s.")).alias("analytics"), pages.alias("history_pages"),
     )
     return head, price_points(
         snapshots, runs, selected, page_size, default_source, probe, hot_rows
