@@ -1,4 +1,4 @@
-"""Wall time of the headline queries; prints one JSON line."""
+"""Wall time of the headline queries, each after one untimed run; prints one JSON line."""
 
 from __future__ import annotations
 
@@ -31,13 +31,13 @@ def main() -> None:
          "spark.driver.memory": os.environ.get("BENCH_MEMORY", "16g")},
     )
     spark.sparkContext.setLogLevel("ERROR")
-    # Start the JVM's code paths and the file system cache before the clock runs.
-    spark.read.parquet(f"{root}/lineitem.parquet").groupBy("l_returnflag").count().collect()
     times: dict[str, float] = {}
-    for name in HEADLINE:
-        began = time.perf_counter()
-        QUERIES[name](spark, root).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - began, 3)
+    for timed in (False, True):
+        for name in HEADLINE:
+            began = time.perf_counter()
+            QUERIES[name](spark, root).write.format("noop").mode("overwrite").save()
+            if timed:
+                times[name] = round(time.perf_counter() - began, 3)
     scale = Path(root).name.removeprefix("sf")
     print(json.dumps({
         "metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
