@@ -8,7 +8,7 @@ except for one lookup of the part's list price.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from pricetrail import schemas as S
 from pricetrail.session import UTC
@@ -17,13 +17,21 @@ SHOP = "shop.example"
 PRODUCT_ROOT = f"https://{SHOP}/p/"
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """One table; its schema is read from the files once per process."""
     spark.conf.set("spark.sql.session.timeZone", UTC)
-    return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
+    path = f"{root.rstrip('/')}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def cents(value: Column) -> Column:
-    return F.round(value * 100).cast("bigint")
+    """Amounts are written to the cent, so this only removes the noise of doubles."""
+    return F.floor(value * 100 + 0.5)
 
 
 def money(amount_cents: Column) -> Column:
