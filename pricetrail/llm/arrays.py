@@ -19,7 +19,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def steps(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def steps(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of the batches with the bytes and the offsets of their texts; null reads as empty."""
     for batch in batches:
         text = batch.column(batch.schema.get_field_index(column))
@@ -30,7 +30,7 @@ def steps(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.R
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + STEP_BYTES, side="right")))
+            stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
             data, offsets = flat(text.slice(start, stop - start))
             yield batch.slice(start, stop - start), data, offsets
             start = stop

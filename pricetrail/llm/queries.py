@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pricetrail.llm import mixing, simhash
-from pricetrail.llm.frames import table
+from pricetrail.llm import line_rules, mixing, pieces, simhash, subword
+from pricetrail.llm.frames import held_out, table
 
 
 def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
@@ -15,6 +16,26 @@ def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op2_encode_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.encoded_documents(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def quality_model(spark: SparkSession, folder: str) -> subword.Model:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return subword.fitted(subword.labelled_sample(docs, labels, "quality", ~held_out("doc_id", 4, 2), subword.SAMPLE))
+
+
+def op4_quality_scores(spark: SparkSession, folder: str) -> DataFrame:
+    scored = subword.quality_scores(table(spark, folder, "documents"), quality_model(spark, folder))
+    return scored.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op9_line_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return line_rules.judged(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_left", "kept"
+    )
+
+
 def op10_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     groups = simhash.near_duplicate_groups(table(spark, folder, "documents"))
     return groups.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
@@ -22,7 +43,10 @@ def op10_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_encode_pieces": op2_encode_pieces,
+    "op4_quality_scores": op4_quality_scores,
+    "op9_line_rules": op9_line_rules,
     "op10_simhash_groups": op10_simhash_groups,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op9_line_rules": line_rules.ORACLE}

@@ -281,13 +281,12 @@ def first_of_each_group(docs: DataFrame, **how) -> DataFrame:
     The first has the group's smallest doc_id; of equal ids one row stays. Rows with a null doc_id
     stay only where their group has no other, and then one of them.
     """
-    packed = docs.select(F.col("doc_id").alias("d"), F.struct("*").alias("packed"))
+    packed = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("d"), F.struct("*").alias("packed"))
     groups = near_duplicate_groups(docs, **how)
-    # Every group has one row here, so the documents' side keeps its own few partitions of ids.
-    first = groups.groupBy("component_id").agg(F.count("*").alias("n")).select("component_id")
+    first = groups.select(F.coalesce(F.col("component_id").cast("string"), F.lit("-")).alias("d")).distinct()
+    # The join and the window share one partitioning by id, so texts are shuffled once.
     row = F.row_number().over(W.partitionBy("d").orderBy(F.xxhash64("packed")))
-    kept = packed.join(first, F.col("d").eqNullSafe(F.col("component_id"))).withColumn("k", row)
-    return kept.where("k = 1").select("packed.*")
+    return packed.join(first, "d").withColumn("k", row).where("k = 1").select("packed.*")
 
 
 def hexadecimal(fp):
