@@ -225,7 +225,7 @@ ORACLE = f"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce('=' || source, '-') AS host FROM documents
 ), w AS (
-  SELECT *, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS words FROM d
+  SELECT *, [x for x in string_split_regex(t, '[\\x20\\x09-\\x0D]+') if x <> ''] AS words FROM d
 ), win AS (
   SELECT rid, i, list_slice(words, i, i + {WINDOW - 1}) AS g
   FROM (SELECT rid, words, unnest(range(1, greatest(len(words) - {WINDOW - 2}, 1))) AS i FROM w)
@@ -235,7 +235,7 @@ WITH d AS (
   SELECT rid, count(DISTINCT i + k) AS n_repeat_words FROM (SELECT rid, i, unnest(range(0, {WINDOW})) AS k FROM twice) GROUP BY rid
 ), l AS (
   SELECT rid, host, t, line, p,
-    list_filter(string_split_regex(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS lw
+    [x for x in string_split_regex(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+') if x <> ''] AS lw
   FROM (SELECT rid, host, t, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS p FROM d)
 ), dup AS (
   SELECT rid, count(*) AS n_dup_lines FROM (SELECT rid, row_number() OVER (PARTITION BY rid, line ORDER BY p) AS r FROM l WHERE len(lw) > 0)
@@ -247,7 +247,7 @@ freq AS (
 ), gone AS (
   SELECT l.rid, sum(len(l.lw)) AS gone FROM l JOIN freq ON l.host = freq.host AND l.lw = freq.lw GROUP BY l.rid
 ), m AS (
-  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, x -> length(x))), 0) AS BIGINT) AS word_chars,
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum([length(x) for x in words]), 0) AS BIGINT) AS word_chars,
     CAST(length(t) - length(regexp_replace(t, '[{SYMBOLS}]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
     CAST(len(words) - coalesce(gone, 0) AS BIGINT) AS n_left
