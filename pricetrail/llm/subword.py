@@ -138,7 +138,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     usable = labels.where(learn & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label"))
     share = min(1.0, size / max(usable.count(), 1))
     chosen = usable.where(unit("doc_id", seed=seed) < share).select(F.col("doc_id").alias("_id"), "label")
-    return docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "label")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "label")
 
 
 def fitted(sample: DataFrame) -> Model:
@@ -151,6 +151,8 @@ def fitted(sample: DataFrame) -> Model:
         yield pd.DataFrame({"logit": [model.logit.tobytes()], "prior": [model.prior]})
 
     row = sample.repartition(1).mapInPandas(run, "logit binary, prior double").first()
+    if row is None:  # nothing to learn from
+        return Model(np.zeros(BUCKETS, dtype=np.float32), 0.5)
     return Model(np.frombuffer(bytes(row["logit"]), dtype=np.float32), row["prior"])
 
 

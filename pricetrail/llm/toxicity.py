@@ -1,10 +1,10 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are character n-grams of lower-cased words, ends marked. Those that tell the labels apart are
+Terms are character n-grams and beginnings of lower-cased words, ends marked. Those that tell the labels apart are
 chosen from a bounded sample of labelled rows; their document frequencies are counted over all
 documents. Labelled rows are indexed by term, their postings cut into blocks with the largest weight
 of each block. A text's query takes blocks by falling bound and stops where no further block can
-reach its k nearest, so the neighbours are exact. Their squared similarities weigh their votes, shrunk to the
+reach its k nearest, so the neighbours are exact. Their similarities weigh their votes, shrunk to the
 rate among texts without such terms by a mass that fits the examples best when each is left out.
 """
 
@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pricetrail.llm.arrays import flat, lowered, ragged, steps, words_of
+from pricetrail.llm.arrays import flat, lowered, ragged, steps, words_of, xxh64
 from pricetrail.llm.frames import unit
 from pricetrail.session import cut
 
@@ -25,19 +25,23 @@ SAMPLE = 12_000
 #: Terms at most, the fewest examples a term is in, and the least chi-square of term and label.
 TERMS = 2000
 LEAST_DOCS = 5
-LEAST_CHI = 60.0
+LEAST_CHI = 30.0
+#: Terms that are in exactly the same examples come from copies of one text, if there are more of them.
+SAME_DOCS = 40
 NGRAMS = (4, 5)
+#: Bytes of the beginnings of words that are terms too, the mark of the beginning included.
+PREFIXES = (6, 7, 8, 9, 10, 12)
 K = 15
 BLOCK = 64
 #: Blocks looked at before the bound is asked again.
 STRIDE = 4
 SEED = 5
 #: Masses of the prior that are tried.
-MASSES = (0.5, 1.0, 2.0)
+MASSES = (0.3, 0.5, 1.0)
 
 
 def ngrams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the n-grams of distinct words and the word each belongs to."""
+    """Hashes of the terms of distinct words and the word each belongs to."""
     data, offs = flat(words)
     lens = np.diff(offs)
     n = len(lens)
@@ -55,6 +59,10 @@ def ngrams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             h = (h << 8) | padded[here + k]
         hashes.append(h)
         owners.append(place[here])
+    for size in PREFIXES:
+        mine = np.flatnonzero(lens + 2 >= size)
+        hashes.append(xxh64(padded, starts[mine], np.full(len(mine), size), SEED).view(np.int64))
+        owners.append(mine)
     return np.concatenate(hashes), np.concatenate(owners)
 
 
@@ -90,15 +98,25 @@ def choose_terms(sample: DataFrame, limit: int = TERMS) -> np.ndarray:
             docs, terms, _ = _doc_terms(data, offsets, None)
             distinct, back = np.unique(terms, return_inverse=True)
             ones = np.bincount(back, weights=label[docs], minlength=len(distinct)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(ones), pa.array(np.bincount(back, minlength=len(distinct)))], ["term", "ones", "docs"])
+            # Which documents a term is in, as a sum over hashes of them that may overflow.
+            which = np.zeros(len(distinct), dtype=np.uint64)
+            np.add.at(which, back, xxh64(data, offsets[:-1], np.diff(offsets))[docs] >> np.uint64(16))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(distinct), pa.array(ones), pa.array(np.bincount(back, minlength=len(distinct))), pa.array(which.view(np.int64))],
+                ["term", "ones", "docs", "which"],
+            )
 
     totals = sample.agg(F.count("*").alias("n"), F.sum("label").alias("ones")).first()
     n, ones = float(totals["n"]), float(totals["ones"] or 0)
-    counts = sample.mapInArrow(run, "term long, ones long, docs long").groupBy("term").agg(F.sum("ones").alias("a"), F.sum("docs").alias("d"))
+    counts = sample.mapInArrow(run, "term long, ones long, docs long, which long").groupBy("term").agg(
+        F.sum("ones").alias("a"), F.sum("docs").alias("d"), F.sum("which").alias("which")
+    )
     a, d = F.col("a"), F.col("d")
     lead = a * n - d * ones
     chi = F.when((d < n) & (F.lit(ones) > 0) & (F.lit(ones) < n), lead * lead * n / (d * (n - d) * ones * (n - ones))).otherwise(0.0)
-    best = counts.where(d >= LEAST_DOCS).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "term").limit(limit)
+    telling = cut(counts.where(d >= LEAST_DOCS).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI))
+    copied = telling.groupBy("d", "which").count().where(F.col("count") > SAME_DOCS)
+    best = telling.join(copied, ["d", "which"], "left_anti").orderBy(F.desc("chi"), "term").limit(limit)
     return np.sort(np.array([r["term"] for r in best.select("term").collect()], dtype=np.int64))
 
 
@@ -164,7 +182,6 @@ class Votes:
     def score(self, terms: np.ndarray, weights: np.ndarray, own: int | None) -> tuple[float, float, np.ndarray]:
         """Weighted votes for label 1, all votes, and the neighbours."""
         found, near = self.index.nearest(terms, weights, own, self.k)
-        near = near * near  # a common term or two make a weak likeness, which should hardly count
         return float((near * self.index.labels[found]).sum()), float(near.sum()), found
 
     def probability(self, ones: np.ndarray, votes: np.ndarray, mass: float | None = None) -> np.ndarray:
@@ -214,7 +231,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, learn: Column, label: st
     share = min(1.0, sample / max(usable.count(), 1))
     # The chosen ids are few by the bound on the sample, so they are broadcast.
     chosen = F.broadcast(cut(usable.where(unit("doc_id", seed=SEED) < share)))
-    terms = choose_terms(docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "label"))
+    # Copies of one text say no more about its terms than the text does.
+    terms = choose_terms(docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("text").agg(F.max("label").alias("label")))
     rows = cut(_term_rows(docs, terms, ("doc_id",)))
     seen = {r["t"]: r["n"] for r in rows.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
     total = rows.count()
