@@ -382,7 +382,7 @@ _items = f"""v_item AS (
   SELECT user_id AS run_id, event_id AS seq,
    'https://shop.example/q/' || (user_id * 50 + event_id % 50) || CASE WHEN event_type = 'view' THEN '/new' ELSE '' END AS url FROM events)"""
 ORACLE["t1_enqueue"] = q(
-    f"""SELECT (SELECT max(id) + 1 FROM v_queue) + min(seq) AS id, run_id, url, 'pending' AS status, 0 AS attempt, 1 AS max_attempts,
+    f"""SELECT (SELECT max(id) + 1 FROM v_queue) + row_number() OVER (ORDER BY min(seq)) - 1 AS id, run_id, url, 'pending' AS status, 0 AS attempt, 1 AS max_attempts,
   {AS_OF} AS next_attempt_at, sha256(run_id || ':' || url) AS idempotency_key, {AS_OF} AS created_at
   FROM v_item i WHERE NOT EXISTS (SELECT 1 FROM v_queue q WHERE q.run_id = i.run_id AND q.url = i.url) GROUP BY run_id, url""",
     _items,
@@ -442,7 +442,7 @@ ORACLE["t8_latest_states"] = q(
 )
 
 # The batch lies after the history in capture order and every part is one product, so the
-# store is a comparison with the row before; new ids follow the arrival number.
+# store is a comparison with the row before; new ids follow the place in the batch.
 STORE = f"""
 v_known AS (SELECT * FROM v_product WHERE pack_unit IS NOT NULL),
 v_held AS (SELECT s.* FROM v_snapshot s JOIN v_known k ON k.id = s.product_id WHERE captured_at < {BATCH_START}),
@@ -450,13 +450,14 @@ v_obs AS (
   SELECT s.*, CAST(date_diff('day', DATE '1970-01-01', CAST(captured_at AS DATE)) AS BIGINT) * 281474976710656
          + (s.id & 281474976710655) AS seq, l.l_linenumber AS ln,
          '{ROOT}' || product_id || CASE WHEN product_id % 5 = 0 AND l.l_suppkey % 2 = 1 THEN '/alt' ELSE '' END AS url
-  FROM v_snapshot s JOIN v_line l ON l.id = s.id WHERE captured_at >= {BATCH_START}),
+  FROM v_snapshot s JOIN v_line l ON l.id = s.id WHERE captured_at >= {BATCH_START} OR product_id NOT IN (SELECT id FROM v_known)),
+v_pos AS (SELECT seq AS arrival, row_number() OVER (ORDER BY seq) - 1 AS pos FROM v_obs),
 v_own AS (
-  SELECT product_id AS part, coalesce(max(k.id), (SELECT max(id) + 1 FROM v_known) + min(seq)) AS pid
-  FROM v_obs o LEFT JOIN v_known k ON k.id = o.product_id GROUP BY product_id),
+  SELECT product_id AS part, coalesce(max(k.id), (SELECT max(id) + 1 FROM v_known) + min(pos)) AS pid
+  FROM v_obs o JOIN v_pos ON arrival = seq LEFT JOIN v_known k ON k.id = o.product_id GROUP BY product_id),
 v_seqd AS (
-  SELECT o.seq, w.pid, (SELECT max(id) + 1 FROM v_held) + o.seq AS own, {_valid} AS ok, pc, oc, promo_flag, in_stock,
-         run_id, queue_id, captured_at FROM v_obs o JOIN v_own w ON w.part = o.product_id
+  SELECT o.seq, w.pid, (SELECT max(id) + 1 FROM v_held) + pos AS own, {_valid} AS ok, pc, oc, promo_flag, in_stock,
+         run_id, queue_id, captured_at FROM v_obs o JOIN v_pos ON arrival = seq JOIN v_own w ON w.part = o.product_id
   UNION ALL
   SELECT -1, product_id, id, true, pc, oc, promo_flag, in_stock, NULL, NULL, captured_at FROM (
     SELECT * FROM v_held WHERE product_id IN (SELECT product_id FROM v_obs)
@@ -699,7 +700,7 @@ v_cur AS (
   SELECT min(p_partkey) + 1000000 AS id, 'https://shop.example/c/' || p_brand || '/' || p_size || '/' AS url
   FROM part WHERE p_size % 5 <> 0 AND p_type = 'SMALL' GROUP BY 2),
 v_now AS (
-  SELECT coalesce(c.id, (SELECT max(id) + 1 FROM v_cur) + i.k) AS id, coalesce(i.ext, CASE WHEN c.id IS NOT NULL THEN 'OLD' END) AS external_id,
+  SELECT coalesce(c.id, (SELECT max(id) + 1 FROM v_cur) + row_number() OVER (PARTITION BY c.id IS NULL ORDER BY i.k) - 1) AS id, coalesce(i.ext, CASE WHEN c.id IS NOT NULL THEN 'OLD' END) AS external_id,
    CASE WHEN i.k IS NULL THEN 'old name' ELSE i.name END AS name, coalesce(c.url, i.url) AS url,
    coalesce(i.slug, CASE WHEN c.id IS NOT NULL THEN 'kept' END) AS slug, CASE WHEN i.k IS NULL THEN 1.0 ELSE i.pv END AS pack_value,
    CASE WHEN i.k IS NULL THEN 'kg' ELSE i.pu END AS pack_unit,

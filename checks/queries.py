@@ -403,7 +403,11 @@ def _store(spark, root):
     held = shots.where(F.col("captured_at") < cut_at).join(
         small.select(F.col("id").alias("product_id")), "product_id", "left_semi"
     )
-    arriving = star.observations(spark, root).where(F.col("observed_at") >= cut_at)
+    # Products that are not known yet have no history: all their rows arrive.
+    known = small.select(F.col("id").cast("string").alias("slug"), F.lit(True).alias("_known"))
+    arriving = star.observations(spark, root).join(known, "slug", "left").where(
+        (F.col("observed_at") >= cut_at) | F.col("_known").isNull()
+    )
     return observations.store_observations(arriving, small, held, now=cut_at)
 
 

@@ -10,6 +10,7 @@ from pricetrail import schemas as S
 from pricetrail.functions import pricing, text
 from pricetrail.operators import identity
 from pricetrail.operators.history import STATE, latest_snapshots
+from pricetrail.operators.numbering import numbered
 from pricetrail.operators.ordered import Ordered
 from pricetrail.session import cut
 
@@ -56,15 +57,16 @@ def store_observations(
     next_snapshot_id: int | None = None,
     hot_rows: int | None = None,
 ) -> StoreResult:
-    """Apply a batch of observations in ``seq`` order (unique, not negative).
+    """Apply a batch of observations in ``seq`` order (unique).
 
-    New ids are the next free id plus the creating ``seq``: unique, in arrival order, and
-    given without ranking the batch. Pass ``latest`` (one newest snapshot per product) and
+    New ids are the next free id plus the place of the creating row in the batch, counted
+    from zero: they follow arrival and never outgrow the rows that ever arrived. Pass ``latest`` (one newest snapshot per product) and
     ``next_snapshot_id`` to leave the stored history unread.
     """
     now = F.current_timestamp() if now is None else now
     base = _next_id(products)
-    clean = normalize_observations(observations, now)
+    arrived = normalize_observations(observations, now).withColumnRenamed("seq", "arrival")
+    clean = numbered(arrived, "arrival", "seq")
     placed = cut(identity.resolve_products(clean, products, base, hot_rows))
     rows = _stored_rows(placed, snapshots, latest, next_snapshot_id, hot_rows)
     created = rows.where("snapshot_created")
@@ -72,7 +74,9 @@ def store_observations(
         F.col("snapshot_id").alias("id"), "run_id", "product_id",
         F.col("observed_at").alias("captured_at"), *STATE, "queue_id",
     )
-    results = rows.select("seq", "product_id", "snapshot_id", "snapshot_created")
+    results = rows.select(
+        F.col("arrival").alias("seq"), "product_id", "snapshot_id", "snapshot_created"
+    )
     return StoreResult(results, new_snapshots, merge_products(products, placed))
 
 
@@ -98,7 +102,7 @@ def _stored_rows(
         pricing.has_valid_state(
             F.col("url"), F.col("price"), F.col("old_price"), F.col("in_stock")
         ).alias("valid"),
-        "run_id", "queue_id",
+        "run_id", "queue_id", "arrival",
     )
     both = arriving.unionByName(known, allowMissingColumns=True)
     ordered = Ordered(both, ["product_id"], ["seq"], probe=placed, hot_rows=hot_rows)

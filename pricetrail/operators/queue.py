@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pricetrail import schemas as S
 from pricetrail.functions import status, text, urls
+from pricetrail.operators.numbering import numbered
 from pricetrail.operators.ordered import Ordered
 
 QUEUE_COLUMNS = S.PRICE_COLLECT_QUEUE.fieldNames()
@@ -33,7 +34,7 @@ def enqueue(queue: DataFrame, items: DataFrame, max_attempts: int | None, now: C
     """The rows to append for ``items(run_id, seq, url, idempotency_key)``.
 
     One row per (run, url), first ``seq`` wins, rows already queued are left alone.
-    New ids follow ``seq``, which is unique over the batch.
+    New ids are consecutive in the order of ``seq``, which is unique over the batch.
     """
     base = F.coalesce(queue.agg(F.max("id") + 1).scalar(), F.lit(1)).cast("bigint")
     fresh = (
@@ -42,10 +43,11 @@ def enqueue(queue: DataFrame, items: DataFrame, max_attempts: int | None, now: C
         .agg(F.min("seq").alias("seq"), F.min_by("idempotency_key", "seq").alias("key"))
         .join(queue.select("run_id", "url"), ["run_id", "url"], "left_anti")
     )
+    fresh = numbered(fresh, "seq", "_number")
     stamp = now.cast(queue.schema["created_at"].dataType)
     values: dict[str, Column] = {f.name: F.lit(None).cast(f.dataType) for f in queue.schema.fields}
     values |= {
-        "id": base + F.col("seq"),
+        "id": base + F.col("_number"),
         "run_id": F.col("run_id"),
         "url": F.col("url"),
         "status": F.lit("pending"),

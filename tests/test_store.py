@@ -29,11 +29,11 @@ def one_by_one(rows, products, snapshots):
     pbase = max([p[0] for p in products], default=0) + 1
     sbase = max([s[0] for s in snapshots], default=0) + 1
     out = []
-    for r in sorted(rows):
+    for place, r in enumerate(sorted(rows)):
         seq, ext, name, url, price, old, promo, stock, when = r[0], r[3], r[4], r[5], r[9], r[10], r[11], r[12], r[13]
         found = [(0 if p["url"] == url else 1, i) for i, p in prods.items()
                  if p["url"] == url or (ext is not None and p["ext"] == ext)]
-        pid = min(found)[1] if found else pbase + seq
+        pid = min(found)[1] if found else pbase + place
         kept = prods.get(pid, {}).get("ext")
         prods[pid] = dict(ext=ext if ext is not None else kept, url=url, updated=when, name=name)
         mine = [s for s in snaps if s[2] == pid]
@@ -43,7 +43,7 @@ def one_by_one(rows, products, snapshots):
         state = (price, old, promo, stock)
         if url != "" and (price is not None or old is not None or stock):
             if last is None or last[3] != state:
-                sid, created = sbase + seq, True
+                sid, created = sbase + place, True
                 snaps.append((when, sid, pid, state))
         out.append((seq, pid, sid, created))
     return out, {i: (p["ext"], p["url"], p["updated"], p["name"]) for i, p in prods.items()}
