@@ -216,12 +216,12 @@ def product_pages(spark: SparkSession, root: str) -> DataFrame:
               '[{"@type":"WebPage"},{"@type":["Thing","product"],"name":"'), name,
         F.lit('","sku":12,"offers":[{"price":null},{"price":"'), sale,
         F.lit('"}]}]</script></head><body><p>Артикул: '), key,
-        F.lit('</p><script>var q = {"quantityText":"за 1 шт (400 г)"};</script></body></html>'),
+        F.lit('</p><script>var q = {"quantityText":"пачка 2 шт (250 г)"};</script></body></html>'),
     )
     scraped = F.concat(
         F.lit("</head><body class=\"p\"><!-- 1 грн --><h1>Товар <b>"), name,
         F.lit("</b> &lt;new&gt;</h1><p>Код SKU: "), key, F.lit("</p><del>~~"), full,
-        F.lit("~~</del> <span>"), F.translate(sale, ".", ","), F.lit(" грн</span><p>Молоко 950 мл</p></body></html>"),
+        F.lit("~~</del> <span>"), F.translate(sale, ".", ","), F.lit(" грн</span><p>Кефір 750 мл</p></body></html>"),
     )
     inline = F.concat(
         F.lit("</head><body><h1>"), name, F.lit('</h1><p>Артикул '), key,

@@ -241,8 +241,8 @@ v_page AS (
    CASE WHEN err IS NULL THEN CASE WHEN style IN (2, 3) THEN fullc END END AS oc,
    CASE WHEN err IS NULL THEN style IN (2, 3) END AS promo_flag,
    CASE WHEN err IS NULL THEN style = 3 END AS in_stock,
-   CASE WHEN err IS NULL THEN CASE style WHEN 0 THEN 2.5 WHEN 1 THEN 400.0 WHEN 2 THEN 950.0 END END AS pack_value,
-   CASE WHEN err IS NULL THEN CASE style WHEN 0 THEN 'кг' WHEN 1 THEN 'за 1 шт (400 г)' WHEN 2 THEN 'мл' END END AS pack_unit,
+   CASE WHEN err IS NULL THEN CASE style WHEN 0 THEN 2.5 WHEN 1 THEN 250.0 WHEN 2 THEN 750.0 END END AS pack_value,
+   CASE WHEN err IS NULL THEN CASE style WHEN 0 THEN 'кг' WHEN 1 THEN 'пачка 2 шт (250 г)' WHEN 2 THEN 'мл' END END AS pack_unit,
    CASE WHEN err IS NULL THEN CASE style
      WHEN 2 THEN CAST((2 * 100 * (fullc - salec) + fullc) // (2 * fullc) AS INT) WHEN 3 THEN 7 END END AS discount_percent
   FROM v_style)
@@ -297,11 +297,11 @@ ORACLE["q10_chart_summary"] = q(
   {_signed_price('(pc - prev)')} AS previous_amount_text, {signed_pct('dprev')} AS previous_percent_text,
   {_cover('nst')} AS in_stock_coverage, {_cover('nprom')} AS promo_coverage,
   concat_ws(' ',
-   'Selected snapshot is ' || CASE WHEN dfirst IS NOT NULL THEN {signed_pct('dfirst')} END || ' ' ||
-     CASE WHEN dfirst < 0 THEN 'below' WHEN dfirst > 0 THEN 'above' WHEN dfirst = 0 THEN 'aligned with' END || ' the first observed price.',
-   'Versus the previous priced snapshot it is ' || CASE WHEN dprev < 0 THEN 'cheaper' WHEN dprev > 0 THEN 'higher' WHEN dprev = 0 THEN 'flat' END
+   'This price is ' || CASE WHEN dfirst IS NOT NULL THEN {signed_pct('dfirst')} END || ' ' ||
+     CASE WHEN dfirst < 0 THEN 'below' WHEN dfirst > 0 THEN 'above' WHEN dfirst = 0 THEN 'aligned with' END || ' the first one seen.',
+   'Since the price before it went ' || CASE WHEN dprev < 0 THEN 'cheaper' WHEN dprev > 0 THEN 'higher' WHEN dprev = 0 THEN 'flat' END
      || ' by ' || {signed_pct('dprev')} || '.',
-   'Promo coverage reached ' || {_cover('nprom')} || '% and in-stock coverage stayed at ' || {_cover('nst')} || '%.') AS trend_text
+   'Promotions cover ' || {_cover('nprom')} || '% and stock covers ' || {_cover('nst')} || '%.') AS trend_text
   FROM v_an""",
     ANALYTICS,
 )
@@ -426,7 +426,7 @@ ORACLE["t6_reap_expired"] = q(
   CASE WHEN {_hit} THEN NULL ELSE reserved_at END AS reserved_at, CASE WHEN {_hit} THEN NULL ELSE lease_until END AS lease_until,
   CASE WHEN {_hit} THEN NULL ELSE reserved_by END AS reserved_by,
   CASE WHEN {_hit} THEN coalesce(last_error_code, 'lease_expired') ELSE last_error_code END AS last_error_code,
-  CASE WHEN {_hit} THEN 'Reservation lease expired' END AS last_error_message,
+  CASE WHEN {_hit} THEN 'The lease ran out' END AS last_error_message,
   CASE WHEN {_hit} THEN {AS_OF} ELSE updated_at END AS updated_at FROM v_queue"""
 )
 ORACLE["t7_has_outstanding"] = q(

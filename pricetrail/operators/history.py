@@ -77,6 +77,16 @@ def distinct_on(df: DataFrame, key: Column, order: list[Column]) -> DataFrame:
     return ranked.where("_n = 1").drop("_n")
 
 
+def newest_capture(documents: DataFrame, key: Column) -> DataFrame:
+    """One document per key: the one captured last, where ``captured_at`` is known.
+
+    Without capture times, and for equal ones, the choice depends on the content only.
+    """
+    last = [F.desc_nulls_last("captured_at")] if "captured_at" in documents.columns else []
+    rest = F.xxhash64(*[F.col(c) for c in documents.columns if c != "captured_at"])
+    return distinct_on(documents, key, [*last, rest])
+
+
 def first_wins(df: DataFrame, keys: list[Column], position: str, *columns: str) -> DataFrame:
     """Keep the first row per key by position, combined before the shuffle."""
     named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]

@@ -175,7 +175,7 @@ def reap_expired(queue: DataFrame, as_of: Column) -> DataFrame:
     """Expired leases go back to retry; the attempt is not counted."""
     hit = expired(as_of)
     code = F.coalesce("last_error_code", F.lit("lease_expired"))
-    message = F.coalesce("last_error_message", F.lit("Reservation lease expired"))
+    message = F.coalesce("last_error_message", F.lit("The lease ran out"))
     flagged = queue.withColumn("_hit", hit)
     on = F.col("_hit")
 

@@ -141,8 +141,8 @@ def test_idempotency_key_is_the_sha_of_run_and_url(spark):
 
 
 PACKS = [
-    ("Картопля 2 кг", D("2"), "кг"), ("Молоко 950 мл", D("950"), "мл"), ("Цукор 1.5 кг", D("1.5"), "кг"),
-    ("Сіль 0,2 кг", D("0.2"), "кг"), ('"quantityText":"за 1 шт (400 г)"', D("400"), "за 1 шт (400 г)"),
+    ("Морква 3 кг", D("3"), "кг"), ("Кефір 750 мл", D("750"), "мл"), ("Рис 2.5 кг", D("2.5"), "кг"),
+    ("Перець 0,3 кг", D("0.3"), "кг"), ('"quantityText":"пачка 2 шт (250 г)"', D("250"), "пачка 2 шт (250 г)"),
     ("Свіжий лимон 3 кг", D("3"), "кг"), ('{"QUANTITYTEXT" : " шт "}', None, "шт"), ("nothing", None, None),
     ("Сік 1 000,5 Л", D("1000.5"), "л"),
 ]
@@ -151,10 +151,10 @@ PACKS = [
 def test_pack_and_price_text(spark):
     got = evaluate(spark, lambda c: parsing.pack(c, F.lower(c)), [p[0] for p in PACKS])
     assert [(g and g["value"], g and g["unit"]) for g in got] == [p[1:] for p in PACKS]
-    texts = ["Цена 12,34 грн", "Вартість 9.99 грн", "~~19,99~~ 15,49 грн", "5 грн 7 ₴", "без ціни", "1.2.3 грн"]
+    texts = ["Ціна 45,60 грн", "Коштує 8.75 грн", "~~31,20~~ 27,80 грн", "5 грн 7 ₴", "без ціни", "1.2.3 грн"]
     assert evaluate(spark, lambda c: parsing.text_price(F.lower(c)), texts) == [
-        D("12.34"), D("9.99"), D("15.49"), D("7"), None, None]
-    assert evaluate(spark, parsing.text_old_price, texts)[2] == D("19.99")
+        D("45.60"), D("8.75"), D("27.80"), D("7"), None, None]
+    assert evaluate(spark, parsing.text_old_price, texts)[2] == D("31.20")
     ids = ["x Артикул:  123 y", "Артикул 77", "SKU:5", "Артикул: a SKU: 9", "артикул:44"]
     assert evaluate(spark, lambda c: parsing.marked_id(F.lower(c)), ids) == ["123", "77", "5", "9", "44"]
 

@@ -131,8 +131,8 @@ def test_trend_text(spark):
     stats = plans.product_analytics(shots(spark)).where("snapshot_id = 101")
     row = chart.chart_summary(stats).first()
     assert row.trend_text == (
-        "Selected snapshot is -7.4% below the first observed price. Versus the previous priced snapshot it is "
-        "cheaper by -7.4%. Promo coverage reached 33% and in-stock coverage stayed at 67%.")
+        "This price is -7.4% below the first one seen. Since the price before it went "
+        "cheaper by -7.4%. Promotions cover 33% and stock covers 67%.")
     assert (row.trend_tone, row.selected_text) == ("success", "19.90 UAH")
     series = chart.chart_series(shots(spark)).orderBy("bucket").collect()
     assert [(s.base_unit, s.price) for s in series][0] == ("hours", D("21.50"))
