@@ -199,6 +199,7 @@ _hist = f"""SELECT h.product_id, h.id, h.run_id, h.captured_at, {two('h.pc')} AS
 ORACLE["q6_product_history"] = q(
     _hist + " WHERE h.product_id IN (SELECT product_id FROM v_new WHERE promo_flag)", _newest
 )
+ORACLE["q6_product_history_all"] = q(_hist)
 _analytics = f"""SELECT id AS snapshot_id, product_id, n AS history_points_count, np AS price_points_count,
   nprom AS promo_moments_count, nst AS in_stock_moments_count, captured_at AS selected_captured_at,
   fc AS first_captured_at, lc AS last_captured_at, {two('pc')} AS selected_price, {two('prev')} AS previous_price,
@@ -265,16 +266,15 @@ _diffs = {
 }
 _flags = ", ".join(f"CASE WHEN has_card THEN {e} END AS {n}_changed" for n, e in _diffs.items())
 _total = " + ".join(f"CAST({n}_changed AS INT)" for n in _diffs)
-ORACLE["q9_live_comparison"] = q(
-    f"""SELECT *, {_total} AS changed_fields FROM (
+_compared = f"""SELECT *, {_total} AS changed_fields FROM (
   SELECT d.snapshot_id, d.url, CASE WHEN has_card THEN 'success' ELSE 'error' END AS live_status, err AS issue_code, {_flags}
   FROM (SELECT s.id AS snapshot_id, p.id AS k, p.url, p.name, p.external_id AS sku, s.pc, s.oc, s.promo_flag, s.in_stock, p.unit, p.slug
-        FROM v_new s JOIN v_card p ON p.id = s.product_id) d
+        FROM FROM_HERE s JOIN v_card p ON p.id = s.product_id) d
   JOIN (SELECT *, CASE WHEN pack_value IS NULL THEN pack_unit
                ELSE CASE WHEN pack_value = 2.5 THEN '2.5' ELSE CAST(CAST(pack_value AS INT) AS VARCHAR) END || ' ' || pack_unit END AS unit
-        FROM v_page) l ON l.k = d.k)""",
-    _newest + "," + PAGES,
-)
+        FROM v_page) l ON l.k = d.k)"""
+ORACLE["q9_live_comparison"] = q(_compared.replace("FROM_HERE", "v_new"), _newest + "," + PAGES)
+ORACLE["q9_live_comparison_all"] = q(_compared.replace("FROM_HERE", "v_snapshot"), PAGES)
 
 
 def _tone(v: str) -> str:
@@ -341,6 +341,13 @@ ORACLE["q12_missing_days"] = q(
     _days,
 )
 
+ORACLE["q12_missing_spans"] = q(
+    """SELECT product_id, CAST(min(day) AS VARCHAR) AS first_day, CAST(max(day) AS VARCHAR) AS last_day, count(*) AS days FROM (
+  SELECT p.id AS product_id, d.day, d.no - row_number() OVER (PARTITION BY p.id ORDER BY d.day) AS island
+  FROM v_product p, (SELECT day, row_number() OVER (ORDER BY day) AS no FROM v_day) d
+  WHERE NOT EXISTS (SELECT 1 FROM v_seen s WHERE s.product_id = p.id AND s.day = d.day)) GROUP BY product_id, island""",
+    _days,
+)
 ORACLE["w1_reference_prices"] = q(
     f"""SELECT id, {two('prev')} AS previous_price, {two('firstp')} AS first_observed_price, {two('lastp')} AS latest_observed_price,
   {two('pc - prev')} AS change_from_previous_amount, dprev AS change_from_previous_percent,

@@ -124,6 +124,11 @@ def _(spark, root):
     return product_plans.product_history(shots, star.runs(spark, root), newest)
 
 
+@query("q6_product_history_all")
+def _(spark, root):
+    return product_plans.product_history(star.snapshots(spark, root), star.runs(spark, root))
+
+
 @query("q7_product_analytics")
 def _(spark, root):
     return product_plans.product_analytics(
@@ -175,6 +180,15 @@ def _(spark, root):
     return live.live_comparison(details, cards)
 
 
+@query("q9_live_comparison_all")
+def _(spark, root):
+    details = product_plans.product_details(
+        star.snapshots(spark, root), star.products(spark, root), star.runs(spark, root)
+    )
+    cards = live.live_cards(extract.extract_cards(derived.product_pages(spark, root)))
+    return live.live_comparison(details, cards)
+
+
 @query("q10_chart_summary")
 def _(spark, root):
     return chart.chart_summary(
@@ -186,7 +200,7 @@ def _(spark, root):
 
 @query("q10_chart_series")
 def _(spark, root):
-    return chart.chart_series(star.snapshots(spark, root), star.product_probe(spark, root))
+    return chart.chart_series(star.snapshots(spark, root))
 
 
 @query("q10_selected_series")
@@ -235,6 +249,13 @@ def _(spark, root):
     )
 
 
+@query("q12_missing_spans")
+def _(spark, root):
+    return health.missing_spans(
+        star.products(spark, root), star.runs(spark, root), star.snapshots(spark, root)
+    )
+
+
 # --- history operators --------------------------------------------------------------
 
 
