@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 UTC = "UTC"
+_folder: ContextVar[str | None] = ContextVar("folder", default=None)
 
 
 def build_session(
@@ -48,6 +52,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables of the block go to one folder, which is deleted when it ends.
+
+    Write the results inside the block: what was built in it reads those tables. Outside of
+    any block they stay below the checkpoint folder.
+    """
+    path = f"{ensure_checkpoint_dir(spark)}/work/{uuid.uuid4().hex}"
+    token = _folder.set(path)
+    try:
+        yield path
+    finally:
+        _folder.reset(token)
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and go on from the copy.
 
@@ -55,6 +76,7 @@ def cut(df: DataFrame) -> DataFrame:
     and survive lost executors without recomputing what came before.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    folder = _folder.get() or f"{ensure_checkpoint_dir(spark)}/tables"
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -127,3 +127,21 @@ def test_random_batch_with_split_keys(spark):
     expected, table = one_by_one(rows, [], [])
     results, got, _ = run(spark, rows, hot_rows=15)
     assert results == expected and got == table
+
+
+def test_ids_stay_small_over_many_batches(spark):
+    """Arrival numbers near the largest long: three batches, one after another, as if row by row."""
+    products, snapshots, expected = [], [], None
+    for batch in range(3):
+        base = 2**61 + batch * 2**60
+        rows = [list(obs(base + i * 1_000_003, url=f"u{batch}-{i % 3}", ext=f"e{batch}-{i % 3}", price=str(i + 1), hours=batch * 50 + i)) for i in range(6)]
+        for r in rows:
+            r[2] = 1
+        rows = [tuple(r) for r in rows]
+        results, _, done = run(spark, rows, products, snapshots)
+        expected, _ = one_by_one(rows, products, snapshots)
+        assert results == expected
+        products = [tuple(r) for r in done.products.collect()]
+        snapshots += [tuple(r) for r in done.snapshots.collect()]
+    assert len({p[0] for p in products}) == 9 and max(p[0] for p in products) <= 18
+    assert len({s[0] for s in snapshots}) == 18 and max(s[0] for s in snapshots) <= 18
