@@ -19,6 +19,8 @@ HEADLINE = (
     "q10_chart_summary", "q12_coverage_calendar", "w4_change_points", "w5_latest_snapshot",
     "t2_plan_batches", "t3_5_transitions", "t8_queue_stats", "t9_observation_store",
     "t19_page_cards", "t21_breaker_report", "s5_sitemap_locs",
+    "q9_live_comparison_all", "q10_chart_series", "q12_missing_spans", "t16_sitemap_walk",
+    "t17_category_walk", "t20_legacy_products",
 )
 
 

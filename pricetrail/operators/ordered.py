@@ -18,7 +18,9 @@ from pricetrail.session import cut
 
 HOT_ROWS_SETTING = "spark.pricetrail.hotRows"
 DEFAULT_HOT_ROWS = 5_000_000
-MAX_BROADCAST_ROWS = 500_000
+MAX_BROADCAST_BYTES = 32_000_000
+# What one carried row takes besides its keys.
+_ROW_BYTES = 256
 _SEGMENT = "_segment"
 
 
@@ -28,13 +30,9 @@ def hot_row_limit(df: DataFrame, hot_rows: int | None = None) -> int:
     return int(df.sparkSession.conf.get(HOT_ROWS_SETTING, str(DEFAULT_HOT_ROWS)))
 
 
-def _same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[n]) for n in names])
-
-
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast only below a counted size; otherwise the planner decides."""
-    return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
+def _small(df: DataFrame, rows: int, key_bytes: int) -> DataFrame:
+    """Broadcast only below a measured size; otherwise the planner decides."""
+    return F.broadcast(df) if rows * (_ROW_BYTES + key_bytes) <= MAX_BROADCAST_BYTES else df
 
 
 class Ordered:
@@ -53,7 +51,9 @@ class Ordered:
         counts = (df if probe is None else probe).groupBy(*self.keys).agg(F.count("*").alias("_n"))
         # At most rows / limit keys can be hot, so this table is small by construction.
         hot = counts.where(F.col("_n") > limit)
-        size = hot.agg(F.count("*").alias("k"), F.sum("_n").alias("n")).first()
+        widest = F.max(sum((F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) for k in self.keys), F.lit(0)))
+        size = hot.agg(F.count("*").alias("k"), F.sum("_n").alias("n"), widest.alias("w")).first()
+        self.key_bytes = size["w"] or 0
         self.segments = 0
         self.rows = df
         if size["k"]:
@@ -62,7 +62,7 @@ class Ordered:
     def _split(self, hot: DataFrame, hot_keys: int, hot_total: int, limit: int) -> None:
         df = self.rows
         self.segments = max(2, 2 * math.ceil(hot_total / limit))
-        marks = _small(hot.select(*self.keys), hot_keys).alias("_hot")
+        marks = _small(hot.select(*self.keys), hot_keys, self.key_bytes).alias("_hot")
         on = reduce(
             lambda a, b: a & b,
             [F.col(f"_rows.{k}").eqNullSafe(F.col(f"_hot.{k}")) for k in self.keys],
@@ -138,7 +138,7 @@ class Ordered:
         on = reduce(
             lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in self.keys]
         ) & (F.col(_SEGMENT) == F.col("_k_segment"))
-        joined = rows.join(_small(carry, self.segments + self.hot_keys), on, "left")
+        joined = rows.join(_small(carry, self.segments + self.hot_keys, self.key_bytes), on, "left")
         merged = {n: F.coalesce(F.col(n), F.col(f"_c_{n}")) for n in last}
         merged |= {n: F.greatest(F.col(n), F.col(f"_c_{n}")) for n in high}
         merged |= {n: F.col(n) + F.coalesce(F.col(f"_c_{n}"), F.lit(0)) for n in total}
@@ -163,7 +163,7 @@ class Ordered:
         on = reduce(
             lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in self.keys]
         )
-        joined = hot.join(_small(sums, self.hot_keys), on, "left").select(*cold.columns)
+        joined = hot.join(_small(sums, self.hot_keys, self.key_bytes), on, "left").select(*cold.columns)
         return self._with(cold.unionByName(joined))
 
     @property
