@@ -200,6 +200,17 @@ ORACLE["q6_product_history"] = q(
     _hist + " WHERE h.product_id IN (SELECT product_id FROM v_new WHERE promo_flag)", _newest
 )
 ORACLE["q6_product_history_all"] = q(_hist)
+ORACLE["o1_tree_order"] = q(
+    """SELECT id, row_number() OVER (ORDER BY day DESC, st DESC NULLS FIRST, run_id DESC NULLS FIRST, place) - 1 AS position FROM (
+  SELECT DISTINCT 'date:' || strftime(started_at, '%Y-%m-%d') AS id, CAST(started_at AS DATE) AS day, NULL::TIMESTAMP AS st, NULL::BIGINT AS run_id, 0 AS place FROM v_rows
+  UNION ALL SELECT 'run:' || id, CAST(started_at AS DATE), started_at, id, 1 FROM v_rows
+  UNION ALL SELECT 'run:' || id || ':successful', CAST(started_at AS DATE), started_at, id, 2 FROM v_rows
+  UNION ALL SELECT 'run:' || id || ':failed', CAST(started_at AS DATE), started_at, id, 3 FROM v_rows WHERE bad > 0)""",
+    _rows,
+)
+ORACLE["o2_newest_first"] = q(
+    "SELECT id, product_id, row_number() OVER (ORDER BY product_id, captured_at DESC, id DESC) - 1 AS position FROM v_snapshot"
+)
 _analytics = f"""SELECT id AS snapshot_id, product_id, n AS history_points_count, np AS price_points_count,
   nprom AS promo_moments_count, nst AS in_stock_moments_count, captured_at AS selected_captured_at,
   fc AS first_captured_at, lc AS last_captured_at, {two('pc')} AS selected_price, {two('prev')} AS previous_price,

@@ -11,6 +11,7 @@ from pricetrail.functions import display, fetch, pricing, status, text, urls
 from pricetrail.operators import (
     breaker, discovery, extract, grid, history, legacy, observations, queue, routing,
 )
+from pricetrail.operators.numbering import numbered
 from pricetrail.plans import chart, health, live, products as product_plans, runs as run_plans
 from pricetrail.sources import config, documents, star_schema as star, tables
 
@@ -117,6 +118,20 @@ def _(spark, root):
     )
 
 
+@query("o1_tree_order")
+def _(spark, root):
+    nodes = run_plans.runs_tree(
+        star.runs(spark, root), star.snapshots(spark, root), star.error_keys(spark, root)
+    )
+    return numbered(nodes, run_plans.tree_order(), "position").select("id", "position")
+
+
+@query("o2_newest_first")
+def _(spark, root):
+    rows = product_plans.product_history(star.snapshots(spark, root), star.runs(spark, root))
+    return numbered(rows, product_plans.newest_first_order(), "position").select("id", "product_id", "position")
+
+
 @query("q6_product_history")
 def _(spark, root):
     shots = star.snapshots(spark, root)

@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pricetrail.session import cut
 
 _PLACE = (1 << 33) - 1  # the row's place within its partition, in Spark's increasing ids
 
 
-def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
-    """``rows`` with ``name``: 0, 1, 2, ... in the order of ``key``, which should be unique.
+def numbered(rows: DataFrame, order: str | list[Column], name: str) -> DataFrame:
+    """``rows`` with ``name``: 0, 1, 2, ... in ``order``, which should leave no ties.
 
     The rows are sorted into ranges and written; each range then starts where the counts of
     the ranges before it end. Only one count per range is looked at together.
     """
+    by = [order] if isinstance(order, str) else order
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = cut(
-        rows.repartitionByRange(parts, key).sortWithinPartitions(key)
+        rows.repartitionByRange(parts, *by).sortWithinPartitions(*by)
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit(_PLACE)))
     )

@@ -121,9 +121,13 @@ def product_history(
     )
 
 
-def newest_first(rows: DataFrame) -> DataFrame:
+def newest_first_order() -> list[Column]:
     """O2, with the id as tie-break."""
-    return rows.orderBy("product_id", F.desc("captured_at"), F.desc("id"))
+    return [F.col("product_id"), F.desc("captured_at"), F.desc("id")]
+
+
+def newest_first(rows: DataFrame) -> DataFrame:
+    return rows.orderBy(*newest_first_order())
 
 
 def _analytics_rows(
