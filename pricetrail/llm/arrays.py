@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one numpy step handles; a longer single text is a step of its own.
-STEP_BYTES = 6_000_000
+STEP_BYTES = 3_000_000
 
 #: White space between words: space and the bytes 0x09 to 0x0D.
 _SPACE = np.zeros(256, dtype=bool)
@@ -21,21 +23,38 @@ _LOWER[65:91] += 32
 
 def steps(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of the batches with the bytes and the offsets of their texts; null reads as empty."""
-    for batch in batches:
+    for batch in _released(batches):
         text = batch.column(batch.schema.get_field_index(column))
-        if not pa.types.is_large_binary(text.type):
-            text = text.cast(pa.large_binary())
-        text = pc.fill_null(text, b"")
-        ends = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
-            data, offsets = flat(text.slice(start, stop - start))
+            # Only the part in hand is copied.
+            data, offsets = flat(pc.fill_null(text.slice(start, stop - start).cast(pa.large_binary()), b""))
             yield batch.slice(start, stop - start), data, offsets
             start = stop
 
 
+@functools.cache
+def _trim():
+    """The C library's call that gives freed memory back, where there is one."""
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: 0
+
+
+def _released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; what earlier ones took is given back, as a worker outlives its tasks."""
+    for i, batch in enumerate(batches):
+        if i % 8 == 7:
+            _trim()(0)
+        yield batch
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def flat(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a large_binary array and its offsets, both from zero."""
     _, offsets, data = text.buffers()

@@ -12,6 +12,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Rows of text that go to Python at a time, so that a task holds a few megabytes of them.
+TEXT_ROWS = 1000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, after the session's Arrow batches were limited to ``TEXT_ROWS`` rows."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(conf.get(key, "10000"))
+    if rows <= 0 or rows > TEXT_ROWS:
+        conf.set(key, str(TEXT_ROWS))
+    return df
+
+
 def small_or_not(df: DataFrame, row_bytes: int) -> DataFrame:
     """``df`` with a broadcast hint if it was counted small enough, else as it is for a shuffled join.
 

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pricetrail.llm.arrays import lowered, ragged, steps, sums, words_of
+from pricetrail.llm.frames import text_batches
 from pricetrail.llm.pieces import Vocabulary, load, match
 from pricetrail.session import cut
 
@@ -213,7 +214,7 @@ def score_documents(docs: DataFrame, learned: Column, path: str, rounds: int = R
     those of the vocabulary's order.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "text", learned.alias("learned"))
+    rows = text_batches(docs.select("doc_id", "text", learned.alias("learned")))
     words = cut(count_words(rows, F.col("learned")))
     totals = words.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
     ends = int(rows.where("learned").count())

@@ -19,17 +19,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pricetrail.llm.arrays import binary, flat, ragged, steps, xxh64
+from pricetrail.llm.frames import text_batches
 
 #: Characters indexed by one suffix array; a longer single chunk is an index of its own.
-INDEX_CHARS = 1_000_000
+INDEX_CHARS = 400_000
 #: Bytes of text whose distinct chunks are encoded together.
-TEXT_BYTES = 16_000_000
+TEXT_BYTES = 6_000_000
 #: Chunks a worker remembers between steps, about forty bytes each.
-SEEN_CHUNKS = 2_000_000
+SEEN_CHUNKS = 1_000_000
 #: Chunks of more characters are relaxed with a heap, shorter ones all at once.
 LONG_CHUNK = 200
 _SPACE_PIECE = "▁"
 _FAR = np.int64(1) << 60
+_NONE = np.int32(2**31 - 1)
 
 
 @dataclass
@@ -201,7 +203,7 @@ def _relax_merges(total: int, first: np.ndarray, starts: np.ndarray, lens: np.nd
     ``order`` ranks the edges, best first. Every round merges, in each chunk at once, the best adjacent
     pair (the first, if equal).
     """
-    spans = np.full(total * (width + 1), _FAR, dtype=np.int64)
+    spans = np.full(total * (width + 1), _NONE, dtype=np.int32)
     spans[starts * (width + 1) + lens] = order
     chunk_end = np.repeat(first[1:], np.diff(first))
     here = np.arange(total)
@@ -215,8 +217,8 @@ def _relax_merges(total: int, first: np.ndarray, starts: np.ndarray, lens: np.nd
         inside = middle < chunk_end[p]
         end = after[np.minimum(middle, total - 1)]
         size = np.where(inside, end - p, 0)
-        rank = np.where(inside & (size <= width), spans[p * (width + 1) + np.minimum(size, width)], _FAR)
-        return np.where(rank < _FAR, (rank << bits) | p, _FAR)
+        rank = np.where(inside & (size <= width), spans[p * (width + 1) + np.minimum(size, width)], _NONE).astype(np.int64)
+        return np.where(rank < _NONE, (rank << bits) | p, _FAR)
 
     rank = pair(here)
     live = np.flatnonzero(np.diff(first) > 1)
@@ -440,6 +442,6 @@ def encoded_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_
                 [*kept, lists, pa.array(np.diff(first)), pa.array(same)], [*keep, "pieces", "n_pieces", "round_trip"]
             )
 
-    frame = docs.select(*[F.col(c) for c in keep], F.col("text").alias("text_"))
+    frame = text_batches(docs.select(*[F.col(c) for c in keep], F.col("text").alias("text_")))
     kinds = ", ".join(f"{c} {frame.schema[c].dataType.simpleString()}" for c in keep)
     return frame.mapInArrow(run, f"{kinds}, pieces array<int>, n_pieces long, round_trip boolean")

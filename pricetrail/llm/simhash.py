@@ -16,7 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from pricetrail.llm.arrays import lowered, steps, sums, words_of, xxh64
+from pricetrail.llm.arrays import lowered, steps, words_of, xxh64
+from pricetrail.llm.frames import text_batches
 from pricetrail.operators.components import connected_components
 from pricetrail.session import cut
 
@@ -68,7 +69,7 @@ def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fp = fingerprints_of(data, offsets, shingle).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp)], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return text_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, fp long")
 
 
 @functools.cache

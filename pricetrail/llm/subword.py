@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pricetrail.llm.arrays import binary, flat, ragged, steps, sums, words_of, xxh64
-from pricetrail.llm.frames import unit
+from pricetrail.llm.frames import text_batches, unit
 
 #: Labelled rows that training uses at most, on average over the sample's hash; all, if there are fewer.
 SAMPLE = 3000
@@ -172,6 +172,6 @@ def quality_scores(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_
             yield pa.RecordBatch.from_arrays([*kept, pa.array(scores(shared.value, data, offsets))], [*keep, "score"])
 
     columns = [F.col(c) for c in keep]
-    frame = docs.select(*columns, F.col("text").alias("text_"))
+    frame = text_batches(docs.select(*columns, F.col("text").alias("text_")))
     kinds = ", ".join(f"{c} {frame.schema[c].dataType.simpleString()}" for c in keep)
     return frame.mapInArrow(run, f"{kinds}, score double")

@@ -1,6 +1,7 @@
 """Token counts with overlap resynchronisation.
 
-Texts of one chunk are encoded whole. A longer text is cut into overlapping chunks that are encoded
+Texts of one chunk are encoded as they are; their equal runs (white space and what follows it, where
+a border is certain) are encoded once. A longer text is cut into overlapping chunks that are encoded
 one by one with their pre-token borders, and neighbouring chunks are spliced where both have a
 border. The splice is exact: scanning for pre-tokens goes from left to right and depends only on
 what follows a border, so a chunk that begins at a border of the text has the text's borders, but
@@ -15,9 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from pricetrail.llm.arrays import binary, flat, ragged, steps, xxh64
+from pricetrail.llm.frames import text_batches
 
 CHUNK = 16_384
 OVERLAP = 512
@@ -167,4 +169,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, chunk: int = CH
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return text_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

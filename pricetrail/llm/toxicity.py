@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pricetrail.llm.arrays import flat, lowered, ragged, steps, words_of, xxh64
-from pricetrail.llm.frames import unit
+from pricetrail.llm.frames import text_batches, unit
 from pricetrail.session import cut
 
 #: Labelled rows used as examples at most, on average over the sample's hash; all, if there are fewer.
@@ -212,7 +212,7 @@ def _term_rows(docs: DataFrame, chosen: np.ndarray, keep: tuple[str, ...]) -> Da
             lists = [pa.ListArray.from_arrays(first, pa.array(x, pa.int32())) for x in (terms, freq)]
             yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(keep))], *lists], [*keep, "terms", "freq"])
 
-    frame = docs.select(*keep, F.col("text").alias("text_"))
+    frame = text_batches(docs.select(*keep, F.col("text").alias("text_")))
     kinds = ", ".join(f"{c} {frame.schema[c].dataType.simpleString()}" for c in keep)
     return frame.mapInArrow(run, f"{kinds}, terms array<int>, freq array<int>")
 
