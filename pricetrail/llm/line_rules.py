@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pricetrail.llm.arrays import binary, lowered, steps, sums, words_of, xxh64
-from pricetrail.llm.frames import small_or_not
+from pricetrail.llm.frames import small_or_not, text_batches
 from pricetrail.session import cut
 
 MIN_WORDS = 10
@@ -127,7 +127,7 @@ def measured(docs: DataFrame) -> DataFrame:
         for part, data, offsets in steps(batches, "text"):
             yield _measured(part, data, offsets)
 
-    return docs.select("doc_id", "source", "text").mapInArrow(run, _SCHEMA)
+    return text_batches(docs.select("doc_id", "source", "text")).mapInArrow(run, _SCHEMA)
 
 
 def frequent_lines(rows: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
@@ -153,7 +153,10 @@ def judged(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE
     """
     host = F.coalesce(F.concat(F.lit("="), "source"), F.lit("-"))
     rows = cut(measured(docs).withColumn("host", host).withColumn("uid", F.monotonically_increasing_id()))
-    frequent = cut(frequent_lines(rows, line_docs, line_share))
+    return _verdicts(rows, cut(frequent_lines(rows, line_docs, line_share)), min_left)
+
+
+def _verdicts(rows: DataFrame, frequent: DataFrame, min_left: float) -> DataFrame:
     gone = (
         rows.select("uid", "host", F.inline("lines")).join(small_or_not(frequent.drop("docs"), 1024), ["host", "line"])
         .groupBy("uid").agg(F.sum("words").alias("gone"), F.sort_array(F.collect_list("line")).alias("removed"))
@@ -185,37 +188,84 @@ def without_lines(texts: pa.Array, removed: list[set[int]]) -> list[str]:
     return out
 
 
-def cleaned(docs: DataFrame, **how) -> DataFrame:
+def _rewritten(frame: DataFrame, kind: str) -> DataFrame:
+    """``packed, clean`` of rows ``removed, text, packed``: the text without its removed lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gone = [set(x or ()) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(2), _new_texts(batch.column(1), gone)], ["packed", "clean"])
+
+    return frame.mapInArrow(run, f"packed {kind}, clean string")
+
+
+def _new_texts(text: pa.Array, gone: list[set[int]]) -> pa.Array:
+    touched = [i for i, x in enumerate(gone) if x]
+    if not touched:
+        return text
+    new = dict(zip(touched, without_lines(text.take(pa.array(touched)), [gone[i] for i in touched])))
+    return pa.array([new.get(i, t) for i, t in enumerate(text.to_pylist())], pa.string())
+
+
+def _by_held_lines(packed: DataFrame, frequent: DataFrame, kind: str, min_left: float) -> DataFrame:
+    """Kept rows where every task holds the frequent lines, so that no text is shuffled."""
+    lines: dict[str, list[int]] = {}
+    for row in frequent.select("host", "line").collect():  # their number was checked
+        lines.setdefault(row["host"], []).append(row["line"])
+    shared = packed.sparkSession.sparkContext.broadcast({h: np.sort(np.array(x)) for h, x in lines.items()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, none = shared.value, np.zeros(0, dtype=np.int64)
+        for part, data, offsets in steps(batches, "text"):
+            rows = _measured(part, data, offsets)
+            column = {n: rows.column(rows.schema.get_field_index(n)) for n in ("n_words", "n_repeat_words", "lines")}
+            words, repeated = column["n_words"].to_numpy(), column["n_repeat_words"].to_numpy()
+            first = column["lines"].offsets.to_numpy()
+            flat_lines = column["lines"].values
+            line, weight = flat_lines.field("line").to_numpy(), flat_lines.field("words").to_numpy()
+            left, gone = words.copy(), []
+            for i, host in enumerate(part.column(part.schema.get_field_index("host")).to_pylist()):
+                mine = slice(first[i], first[i + 1])
+                out = np.isin(line[mine], held.get(host, none))
+                left[i] -= weight[mine][out].sum()
+                gone.append(set(line[mine][out].tolist()))
+            base = (words < MIN_WORDS) | (100 * repeated > MAX_REPEATED * words)
+            kept = np.flatnonzero(~base & (left >= MIN_WORDS) & (left >= min_left * words))
+            part = part.take(pa.array(kept))
+            clean = _new_texts(part.column(part.schema.get_field_index("text")), [gone[i] for i in kept.tolist()])
+            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("packed")), clean], ["packed", "clean"])
+
+    return packed.mapInArrow(run, f"packed {kind}, clean string")
+
+
+#: Frequent lines that every task may hold. A host has at most its lines a document over the share
+#: a line must exceed, so their number follows the hosts; beyond this, rows meet their lines in joins.
+HELD_LINES = 500_000
+
+
+def cleaned(
+    docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, min_left: float = MIN_LEFT, held_lines: int = HELD_LINES
+) -> DataFrame:
     """The kept rows of ``docs`` without the removed lines; ``n_chars``, if there, follows the text.
 
     Handles nulls, repeated rows and empty tables as ``judged``; other columns stay as they are.
     """
-    changes = (
-        judged(docs, **how).where("not kept or size(removed) > 0")
-        .select(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("k"), "host", "text_hash", "kept", "removed")
-        .dropDuplicates(["k", "host", "text_hash"])
-    )
-    changes = cut(changes)
-    keyed = docs.select(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("k"),
-        F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")).alias("host"),
-        F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"),
-        F.struct("*").alias("packed"),
-    )
-    both = keyed.join(small_or_not(changes, 2048), ["k", "host", "text_hash"], "left").where("coalesce(kept, true)")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gone = batch.column(0).to_pylist()
-            touched = [i for i, x in enumerate(gone) if x]
-            text = batch.column(1)
-            if touched:
-                new = dict(zip(touched, without_lines(text.take(pa.array(touched)), [set(gone[i]) for i in touched])))
-                text = pa.array([new.get(i, t) for i, t in enumerate(text.to_pylist())], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(2), text], ["packed", "clean"])
-
-    kind = keyed.schema["packed"].dataType.simpleString()
-    done = both.select("removed", F.col("packed.text").alias("text"), "packed").mapInArrow(run, f"packed {kind}, clean string")
+    host = F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")).alias("host")
+    packed = docs.select("doc_id", "source", "text", host, F.struct("*").alias("packed"))
+    kind = packed.schema["packed"].dataType.simpleString()
+    rows = cut(measured(docs).withColumn("host", host).withColumn("uid", F.monotonically_increasing_id()))
+    frequent = cut(frequent_lines(rows, line_docs, line_share))
+    if frequent.count() <= held_lines:
+        done = _by_held_lines(packed, frequent, kind, min_left)
+    else:
+        key = F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("k")
+        changes = cut(
+            _verdicts(rows, frequent, min_left).where("not kept or size(removed) > 0")
+            .select(key, "host", "text_hash", "kept", "removed").dropDuplicates(["k", "host", "text_hash"])
+        )
+        keyed = packed.select(key, "host", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text", "packed")
+        both = keyed.join(changes, ["k", "host", "text_hash"], "left").where("coalesce(kept, true)")
+        done = _rewritten(both.select("removed", "text", "packed"), kind)
     replaced = {"text": F.col("clean")} | ({"n_chars": F.length("clean").cast("long")} if "n_chars" in docs.columns else {})
     return done.select(*[replaced.get(c, F.col(f"packed.`{c}`")).alias(c) for c in docs.columns])
 

@@ -202,6 +202,13 @@ def mix_plan(docs: DataFrame, **how) -> DataFrame:
     )
 
 
+def _row_key(doc_id: str, size: str, source: str) -> Column:
+    """One text for id, size and source, nulls told apart: the join and the window share its partitioning."""
+    return F.concat_ws(
+        "|", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.col(size).cast("string"), F.coalesce(F.concat(F.lit("="), source), F.lit("-"))
+    )
+
+
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each row of ``docs``, all its columns, as often as the plan takes it.
 
@@ -210,11 +217,12 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     packed = docs.select(
         F.col("source").alias("s"), F.col("doc_id").alias("d"), word_count("text").alias("z"), F.struct("*").alias("packed"),
     )
-    plan = _each_row(mix_counts(packed.select(F.col("s").alias("source"), F.col("d").alias("doc_id"), F.col("z").alias("size")), **how))
-    plan = plan.where("copies > 0").select("source", "doc_id", "size", "row", "copies")
-    row = F.row_number().over(W.partitionBy("s", "d", "z").orderBy(F.xxhash64("packed")))
-    both = packed.withColumn("k", row).join(
-        plan,
-        F.col("s").eqNullSafe(F.col("source")) & F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("z") == F.col("size")) & (F.col("k") == F.col("row")),
+    units = packed.select(F.col("s").alias("source"), F.col("d").alias("doc_id"), F.col("z").alias("size"))
+    counts = mix_counts(units, **how).select(
+        _row_key("doc_id", "size", "source").alias("key"), "n", "copies"
     )
-    return both.select("packed", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("packed.*")
+    row = F.row_number().over(W.partitionBy("key").orderBy(F.xxhash64("packed")))
+    both = packed.select(_row_key("d", "z", "s").alias("key"), "packed").withColumn("k", row).join(counts.where("copies > 0"), "key")
+    mine = F.floor(F.col("copies") / F.col("n")) + (F.col("k") <= F.col("copies") % F.col("n")).cast("long")
+    again = F.explode(F.array_repeat(F.lit(0), mine.cast("int")))
+    return both.select("packed", again).select("packed.*")
