@@ -22,9 +22,11 @@ from pricetrail.session import cut
 
 #: Labelled rows used as examples at most, on average over the sample's hash; all, if there are fewer.
 SAMPLE = 12_000
-#: Terms at most, the fewest examples a term is in, and the least chi-square of term and label.
+#: Terms at most, the fewest examples a term is in, the least share of those with label 1, and the
+#: least chi-square of term and label. The share keeps out terms that only follow a text's length.
 TERMS = 2000
 LEAST_DOCS = 5
+LEAST_SHARE = 0.5
 LEAST_CHI = 30.0
 #: Terms that are in exactly the same examples come from copies of one text, if there are more of them.
 SAME_DOCS = 40
@@ -33,8 +35,8 @@ NGRAMS = (4, 5)
 PREFIXES = (6, 7, 8, 9, 10, 12)
 K = 15
 BLOCK = 64
-#: Blocks looked at before the bound is asked again.
-STRIDE = 4
+#: Blocks looked at before the bound is asked for the first time; twice as many each time after.
+STRIDE = 8
 SEED = 5
 #: Masses of the prior that are tried.
 MASSES = (0.3, 0.5, 1.0)
@@ -114,7 +116,7 @@ def choose_terms(sample: DataFrame, limit: int = TERMS) -> np.ndarray:
     a, d = F.col("a"), F.col("d")
     lead = a * n - d * ones
     chi = F.when((d < n) & (F.lit(ones) > 0) & (F.lit(ones) < n), lead * lead * n / (d * (n - d) * ones * (n - ones))).otherwise(0.0)
-    telling = cut(counts.where(d >= LEAST_DOCS).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI))
+    telling = cut(counts.where((d >= LEAST_DOCS) & (a >= LEAST_SHARE * d)).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI))
     copied = telling.groupBy("d", "which").count().where(F.col("count") > SAME_DOCS)
     best = telling.join(copied, ["d", "which"], "left_anti").orderBy(F.desc("chi"), "term").limit(limit)
     return np.sort(np.array([r["term"] for r in best.select("term").collect()], dtype=np.int64))
@@ -145,21 +147,28 @@ class Index:
         """The ``k`` most similar examples, but for those with the id ``own``, and their similarities."""
         bounds = weights @ self.largest[terms]
         order = np.argsort(-bounds, kind="stable")
+        order = order[: int((bounds > 0).sum())]
         found, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
-        for a in range(0, self.blocks, STRIDE):
+        at, stride = 0, STRIDE
+        while at < len(order):
             least = scores[k - 1] if len(scores) >= k else 0.0
-            take = order[a : a + STRIDE]
-            take = take[(bounds[take] > 0) & (bounds[take] >= least - 1e-12)]
+            take = order[at : at + stride]
+            take = take[bounds[take] >= least - 1e-12]
             if not len(take):
                 break
-            at = (terms[:, None] * self.blocks + take[None, :]).reshape(-1)
-            lens = self.pointer[at + 1] - self.pointer[at]
-            places = ragged(self.pointer[at], lens)
+            at, stride = at + stride, 2 * stride
+            cells = (terms[:, None] * self.blocks + take[None, :]).reshape(-1)
+            lens = self.pointer[cells + 1] - self.pointer[cells]
+            places = ragged(self.pointer[cells], lens)
             value = np.repeat(np.repeat(weights, len(take)), lens) * self.weights[places]
-            docs, back = np.unique(self.docs[places], return_inverse=True)
-            sums = np.bincount(back, weights=value, minlength=len(docs))
-            keep = self.ids[docs] != own if own is not None else np.ones(len(docs), dtype=bool)
-            found, scores = np.concatenate((found, docs[keep])), np.concatenate((scores, sums[keep]))
+            sums = np.bincount(self.docs[places], weights=value, minlength=len(self.ids))
+            docs = np.flatnonzero(sums)
+            if own is not None:
+                docs = docs[self.ids[docs] != own]
+            found, scores = np.concatenate((found, docs)), np.concatenate((scores, sums[docs]))
+            if len(found) > k:  # only those that can be among the first k are put in order
+                edge = np.partition(scores, len(scores) - k)[len(scores) - k] - 1e-11
+                found, scores = found[scores >= edge], scores[scores >= edge]
             best = np.lexsort((self.ids[found], -np.round(scores, 12)))[:k]
             found, scores = found[best], scores[best]
         return found, scores
