@@ -67,3 +67,9 @@ def test_odd_rows(spark, labelled):
     else:
         assert set(score.values()) == {0.5}
     assert toxicity.toxicity_scores(docs.limit(0), labels, F.lit(True)).collect() == []
+
+
+def test_telling_terms_that_mostly_mark_label_0(spark):
+    rows = [(f"text{i} " + ("zq" if i < 50 else "of") + f" end{i}", int(i < 20 or i > 969)) for i in range(1000)]
+    chosen = toxicity.choose_terms(spark.createDataFrame(rows, "text string, label int"))
+    assert int.from_bytes(b"\x04<zq>", "big") in chosen.tolist()  # 20 of its 50 examples have label 1, 50 of all 1000
