@@ -26,7 +26,7 @@ SAMPLE = 12_000
 TERMS = 2000
 LEAST_DOCS = 5
 LEAST_CHI = 30.0
-#: Terms that are in exactly the same examples come from copies of one text, if there are more of them.
+#: Terms that are in exactly the same examples come from one passage, if there are more of them; one of them stands for all.
 SAME_DOCS = 40
 NGRAMS = (4, 5)
 #: Bytes of the beginnings of words that are terms too, the mark of the beginning included.
@@ -115,8 +115,9 @@ def choose_terms(sample: DataFrame, limit: int = TERMS) -> np.ndarray:
     lead = a * n - d * ones
     chi = F.when((d < n) & (F.lit(ones) > 0) & (F.lit(ones) < n), lead * lead * n / (d * (n - d) * ones * (n - ones))).otherwise(0.0)
     telling = cut(counts.where(d >= LEAST_DOCS).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI))
-    copied = telling.groupBy("d", "which").count().where(F.col("count") > SAME_DOCS)
-    best = telling.join(copied, ["d", "which"], "left_anti").orderBy(F.desc("chi"), "term").limit(limit)
+    copied = telling.groupBy("d", "which").agg(F.count("*").alias("same"), F.min("term").alias("stands")).where(F.col("same") > SAME_DOCS)
+    kept = telling.join(copied, ["d", "which"], "left").where("stands is null or term = stands")
+    best = kept.orderBy(F.desc("chi"), "term").limit(limit)
     return np.sort(np.array([r["term"] for r in best.select("term").collect()], dtype=np.int64))
 
 

@@ -73,3 +73,12 @@ def test_telling_terms_that_mostly_mark_label_0(spark):
     rows = [(f"text{i} " + ("zq" if i < 50 else "of") + f" end{i}", int(i < 20 or i > 969)) for i in range(1000)]
     chosen = toxicity.choose_terms(spark.createDataFrame(rows, "text string, label int"))
     assert int.from_bytes(b"\x04<zq>", "big") in chosen.tolist()  # 20 of its 50 examples have label 1, 50 of all 1000
+
+
+def test_a_passage_that_examples_share(spark):
+    passage = "grumblewort snickerdoodle flabbergastric quibblesome zanthropic wumplewacket"
+    rows = [(i, f"kind{i * 7919 % 1000} calm{i * 104729 % 1000} " + (passage if i % 10 == 0 else "")) for i in range(300)] + [(1000, passage), (1001, "of")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(300)], "doc_id long, toxic int")
+    score = {r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(docs, labels, F.lit(True)).collect()}
+    assert score[1000] >= 0.7 > score[1001]
