@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import ctypes
-import functools
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+T = TypeVar("T")
+
 #: Bytes of text that one numpy step handles; a longer single text is a step of its own.
 STEP_BYTES = 3_000_000
 
@@ -22,27 +25,40 @@ _LOWER[65:91] += 32
 
 
 def steps(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Parts of the batches with the bytes and the offsets of their texts; null reads as empty."""
+    """Parts of the batches with the bytes and the offsets of their texts; null reads as empty.
+
+    Small batches are joined and large ones cut, so that a part holds about ``limit`` bytes.
+    """
+    held, size = [], 0
     for batch in _released(batches):
-        text = batch.column(batch.schema.get_field_index(column))
-        ends = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        start = 0
-        while start < batch.num_rows:
-            before = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
-            # Only the part in hand is copied.
-            data, offsets = flat(pc.fill_null(text.slice(start, stop - start).cast(pa.large_binary()), b""))
-            yield batch.slice(start, stop - start), data, offsets
-            start = stop
-
-
-@functools.cache
-def _trim():
-    """The C library's call that gives freed memory back, where there is one."""
-    try:
-        return ctypes.CDLL("libc.so.6").malloc_trim
-    except (OSError, AttributeError):
-        return lambda _: 0
+        held.append(batch)
+        size += pc.sum(pc.binary_length(batch.column(batch.schema.get_field_index(column)))).as_py() or 0
+        if size >= limit:
+            yield from _parts(pa.concat_batches(held), column, limit)
+            held, size = [], 0
+    if held:
+        yield from _parts(pa.concat_batches(held), column, limit)
+
+
+def _parts(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    text = batch.column(batch.schema.get_field_index(column))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        # Only the part in hand is copied.
+        data, offsets = flat(pc.fill_null(text.slice(start, stop - start).cast(pa.large_binary()), b""))
+        yield batch.slice(start, stop - start), data, offsets
+        start = stop
+
+
+def once(name: str, build: Callable[[], T]) -> T:
+    """What ``build`` gives, kept for the life of the process and never sent with a function."""
+    kept = vars(sys).setdefault("_pricetrail_once", {})
+    if name not in kept:
+        kept[name] = build()
+    return kept[name]
 
 
 def _released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,16 +12,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-#: Rows of text that go to Python at a time, so that a task holds a few megabytes of them.
-TEXT_ROWS = 1000
+#: Bytes that go to Python at a time, so that a task holds a few megabytes of text.
+BATCH_BYTES = 8_000_000
 
 
 def text_batches(df: DataFrame) -> DataFrame:
-    """``df``, after the session's Arrow batches were limited to ``TEXT_ROWS`` rows."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    rows = int(conf.get(key, "10000"))
-    if rows <= 0 or rows > TEXT_ROWS:
-        conf.set(key, str(TEXT_ROWS))
+    """``df``, after Arrow batches were limited to ``BATCH_BYTES`` bytes; the number of rows is left alone."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(conf.get(key, "0")) <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
     return df
 
 

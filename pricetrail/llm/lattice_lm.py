@@ -10,7 +10,6 @@ scored once, and documents meet the scores of all but the commonest words in a j
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pricetrail.llm.arrays import lowered, ragged, steps, sums, words_of
+from pricetrail.llm.arrays import lowered, once, ragged, steps, sums, words_of
 from pricetrail.llm.frames import text_batches
 from pricetrail.llm.pieces import Vocabulary, load, match
 from pricetrail.session import cut
@@ -36,9 +35,8 @@ SMOOTH = 0.1
 _SPACE = ord("▁")
 
 
-@functools.cache
 def _vocabulary(path: str) -> Vocabulary:
-    return load(path)
+    return once(f"vocabulary {path}", lambda: load(path))
 
 
 @dataclass

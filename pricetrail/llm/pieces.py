@@ -9,7 +9,6 @@ by the vocabulary's merge order for those of BPE kind, so that ids equal the pub
 
 from __future__ import annotations
 
-import functools
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pricetrail.llm.arrays import binary, flat, ragged, steps, xxh64
+from pricetrail.llm.arrays import binary, flat, once, ragged, steps, xxh64
 from pricetrail.llm.frames import text_batches
 
 #: Characters indexed by one suffix array; a longer single chunk is an index of its own.
@@ -408,10 +407,9 @@ def decode(ids: np.ndarray, first: np.ndarray, vocabulary: Vocabulary) -> tuple[
     return data[keep], np.concatenate(([0], np.cumsum(keep)))[ends]
 
 
-@functools.cache
 def _worker_state(path: str) -> tuple[Vocabulary, Seen]:
     """What a Python worker keeps from task to task."""
-    return load(path), Seen()
+    return once(f"pieces {path}", lambda: (load(path), Seen()))
 
 
 def encoded_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -9,14 +9,13 @@ two bits at most: joining on (segment ``i``, a nearby codeword of segment ``i +
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from pricetrail.llm.arrays import lowered, steps, words_of, xxh64
+from pricetrail.llm.arrays import lowered, once, steps, words_of, xxh64
 from pricetrail.llm.frames import text_batches
 from pricetrail.operators.components import connected_components
 from pricetrail.session import cut
@@ -72,7 +71,6 @@ def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return text_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, fp long")
 
 
-@functools.cache
 def golay_patterns() -> tuple[np.ndarray, np.ndarray]:
     """By syndrome: up to six error patterns of weight at most four, and how many there are."""
     generator = 0b110001110101  # fixed value: a generator polynomial of the binary Golay code
@@ -97,7 +95,6 @@ def golay_patterns() -> tuple[np.ndarray, np.ndarray]:
     return patterns, count
 
 
-@functools.cache
 def _syndromes() -> tuple[np.ndarray, np.ndarray]:
     """Remainders of the upper twelve bits and of the lower eleven, to be combined by xor."""
     generator = 0b110001110101
@@ -113,8 +110,8 @@ def _syndromes() -> tuple[np.ndarray, np.ndarray]:
 
 def codewords(segments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indices (twelve bits) of the codewords near each 23-bit word: a matrix and the number in each row."""
-    patterns, count = golay_patterns()
-    upper, lower = _syndromes()
+    patterns, count = once("golay patterns", golay_patterns)
+    upper, lower = once("golay syndromes", _syndromes)
     syndrome = upper[segments >> 11] ^ lower[segments & 2047]
     return (segments[:, None] ^ patterns[syndrome]) >> 11, count[syndrome]
 

@@ -11,14 +11,13 @@ the text from the first common border on. Where the overlap has no common border
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pricetrail.llm.arrays import binary, flat, ragged, steps, xxh64
+from pricetrail.llm.arrays import binary, flat, once, ragged, steps, xxh64
 from pricetrail.llm.frames import text_batches
 
 CHUNK = 16_384
@@ -147,10 +146,9 @@ class Encoder:
         return counts
 
 
-@functools.cache
 def _encoder(path: str) -> Encoder:
     """One encoder for each Python worker."""
-    return Encoder(path)
+    return once(f"encoder {path}", lambda: Encoder(path))
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, chunk: int = CHUNK) -> DataFrame:
