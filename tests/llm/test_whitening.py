@@ -107,4 +107,4 @@ def test_polynomial_and_roots(spark):
 
 def test_limbs():
     x = np.array([[0, 1, -1, 2**40 + 5, -(2**61) + 3]])
-    assert sum(part.astype(object) * (1 << 20 * k) for k, part in enumerate(whitening._limbs(x))).tolist() == x.tolist()
+    assert sum(part.astype(np.int64).astype(object) * (1 << 20 * k) for k, part in enumerate(whitening._limbs(x))).tolist() == x.tolist()
