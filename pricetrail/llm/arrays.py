@@ -61,6 +61,18 @@ def once(name: str, build: Callable[[], T]) -> T:
     return kept[name]
 
 
+def _trim():
+    """The C library's call that gives freed memory back, where there is one."""
+
+    def find():
+        try:
+            return ctypes.CDLL("libc.so.6").malloc_trim
+        except (OSError, AttributeError):
+            return lambda _: 0
+
+    return once("malloc_trim", find)
+
+
 def _released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches; what earlier ones took is given back, as a worker outlives its tasks."""
     for i, batch in enumerate(batches):
