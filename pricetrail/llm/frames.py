@@ -19,7 +19,7 @@ BATCH_BYTES = 8_000_000
 def text_batches(df: DataFrame) -> DataFrame:
     """``df``, after Arrow batches were limited to ``BATCH_BYTES`` bytes; the number of rows is left alone."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(conf.get(key, "0")) <= BATCH_BYTES:
+    if int(conf.get(key).rstrip("b")) > BATCH_BYTES:
         conf.set(key, str(BATCH_BYTES))
     return df
 
