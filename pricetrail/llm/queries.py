@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pricetrail.llm import hilbert, lattice_lm, line_rules, mixing, pieces, simhash, subword, token_counts, toxicity, url_rules, whitening
+from pricetrail.llm import hilbert, lattice_lm, line_rules, mixing, pieces, repair, simhash, subword, token_counts, toxicity, url_rules, whitening
 from pricetrail.llm.frames import held_out, table
 
 
@@ -72,6 +72,10 @@ def op12_whitened_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whitened_rows(table(spark, folder, "embeddings"))
 
 
+def op13_repaired_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.damaged_and_repaired(table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_encode_pieces": op2_encode_pieces,
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_rules": op9_line_rules,
     "op10_simhash_groups": op10_simhash_groups,
     "op12_whitened_embeddings": op12_whitened_embeddings,
+    "op13_repaired_conversations": op13_repaired_conversations,
 }
 
 ORACLE: dict[str, str] = {"op5_url_rules": url_rules.ORACLE, "op9_line_rules": line_rules.ORACLE}
