@@ -53,6 +53,28 @@ def _parts(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[tuple[pa.
         start = stop
 
 
+def runs(batches: Iterator[pa.RecordBatch], of: Callable[[pa.RecordBatch], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Sorted batches again, cut only where ``of`` (a batch to an array of keys) changes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = of(batch)
+        change = np.flatnonzero(key[1:] != key[:-1])
+        begins = bool(held) and key[0] != of(held[-1].slice(held[-1].num_rows - 1))[0]
+        if begins:
+            yield pa.concat_batches(held)
+            held = []
+        if len(change):
+            last = int(change[-1]) + 1
+            yield pa.concat_batches([*held, batch.slice(0, last)])
+            held = [batch.slice(last)]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
+
+
 def once(name: str, build: Callable[[], T]) -> T:
     """What ``build`` gives, kept for the life of the process and never sent with a function."""
     kept = vars(sys).setdefault("_pricetrail_once", {})

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pricetrail.llm import hilbert, lattice_lm, line_rules, mixing, pieces, repair, simhash, subword, token_counts, toxicity, url_rules, whitening
+from pricetrail.llm import hilbert, lattice_lm, line_rules, mixing, pieces, repair, simhash, substrings, subword, token_counts, toxicity, url_rules, whitening
 from pricetrail.llm.frames import held_out, table
 
 
@@ -68,6 +68,10 @@ def op10_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
 
 
+def op11_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, folder, "documents"))
+
+
 def op12_whitened_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whitened_rows(table(spark, folder, "embeddings"))
 
@@ -87,8 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lattice_scores": op8_lattice_scores,
     "op9_line_rules": op9_line_rules,
     "op10_simhash_groups": op10_simhash_groups,
+    "op11_substring_dedup": op11_substring_dedup,
     "op12_whitened_embeddings": op12_whitened_embeddings,
     "op13_repaired_conversations": op13_repaired_conversations,
 }
 
-ORACLE: dict[str, str] = {"op5_url_rules": url_rules.ORACLE, "op9_line_rules": line_rules.ORACLE}
+ORACLE: dict[str, str] = {"op5_url_rules": url_rules.ORACLE, "op9_line_rules": line_rules.ORACLE, "op11_substring_dedup": substrings.ORACLE}

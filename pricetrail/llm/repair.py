@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pricetrail.llm.arrays import ragged
+from pricetrail.llm.arrays import ragged, runs
 from pricetrail.llm.frames import small_or_not, text_batches
 from pricetrail.session import cut
 
@@ -189,28 +189,6 @@ def _judged(rows: DataFrame) -> DataFrame:
     )
 
 
-def _runs(batches: Iterator[pa.RecordBatch], of) -> Iterator[pa.RecordBatch]:
-    """Sorted batches again, cut only where ``of`` (a batch to an array of keys) changes."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = of(batch)
-        change = np.flatnonzero(key[1:] != key[:-1])
-        begins = bool(held) and key[0] != of(held[-1].slice(held[-1].num_rows - 1))[0]
-        if begins:
-            yield pa.concat_batches(held)
-            held = []
-        if len(change):
-            last = int(change[-1]) + 1
-            yield pa.concat_batches([*held, batch.slice(0, last)])
-            held = [batch.slice(last)]
-        else:
-            held.append(batch)
-    if held:
-        yield pa.concat_batches(held)
-
-
 def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
 
@@ -236,7 +214,7 @@ def _segments(rows: DataFrame) -> DataFrame:
     """One row for each conversation in each piece: its moves, counts and the kinds of its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _runs(batches, lambda b: _column(b, "pos") >> PIECE_BITS):
+        for batch in runs(batches, lambda b: _column(b, "pos") >> PIECE_BITS):
             pos, conv = _column(batch, "pos"), _column(batch, "conv")
             kind, fault = _column(batch, "kind").astype(np.int64), _column(batch, "fault")
             piece = pos >> PIECE_BITS
@@ -279,7 +257,7 @@ def _folded(nodes: DataFrame, shift: int | None) -> DataFrame:
     """Nodes with one number after ``shift`` become one node of the next level; None: all of a conversation."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _runs(batches, lambda b: _column(b, "conv")):
+        for batch in runs(batches, lambda b: _column(b, "conv")):
             begin, lens = _groups(batch, shift)
             top, _ = halves(Moves(_unlist(batch, "cost"), _unlist(batch, "rank")), lens)[-1]
             first, last = _column(batch, "first"), _column(batch, "last")
@@ -303,7 +281,7 @@ def _unfolded(nodes: DataFrame, states: DataFrame, shift: int | None) -> DataFra
     """``start, entry, leave, spans`` of every node, from those of the nodes they were folded into."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _runs(batches, lambda b: _column(b, "conv")):
+        for batch in runs(batches, lambda b: _column(b, "conv")):
             begin, lens = _groups(batch, shift)
             levels = halves(Moves(_unlist(batch, "cost"), _unlist(batch, "rank")), lens)
             entry, leave = cross(levels, _column(batch, "entry")[begin].astype(np.int64), _column(batch, "leave")[begin].astype(np.int64))
@@ -344,7 +322,7 @@ def _moves(segments: DataFrame, states: DataFrame) -> DataFrame:
     """``piece, kinds, moves`` of the rows of a piece; a move is entry * 4 + exit, and 16 more where the conversation spans pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _runs(batches, lambda b: _column(b, "node")):
+        for batch in runs(batches, lambda b: _column(b, "node")):
             kinds = batch.column(batch.schema.get_field_index("kinds"))
             lens = np.diff(kinds.offsets.to_numpy()).astype(np.int64)
             kind = kinds.flatten().to_numpy().astype(np.int64)
