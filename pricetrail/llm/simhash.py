@@ -13,11 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from pricetrail.llm.arrays import lowered, once, steps, words_of, xxh64
 from pricetrail.llm.frames import text_batches
-from pricetrail.operators.components import connected_components
+from pricetrail.llm.components import connected_components
 from pricetrail.session import cut
 
 SHINGLE = 3
@@ -48,7 +48,12 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGL
     head = words.first[:-1][owner] + np.arange(first[-1]) - first[:-1][owner]
     last = np.minimum(head + shingle, words.first[1:][owner]) - 1
     hashes = xxh64(text, begin[head], end[last] - begin[head], SEED)
-    ones = np.zeros((len(n), 64), dtype=np.int64)
+    return majority(hashes, owner, per_text)
+
+
+def majority(hashes: np.ndarray, owner: np.ndarray, per_text: np.ndarray) -> np.ndarray:
+    """Of each text's hashes the bits that are set in over half; ``owner`` ascends, a text without any has zero."""
+    ones = np.zeros((len(per_text), 64), dtype=np.int64)
     for a in range(0, len(hashes), _CHUNK):
         part = hashes[a : a + _CHUNK]
         bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -273,20 +278,6 @@ def near_duplicate_groups(docs: DataFrame, bits: int = BITS, shingle: int = SHIN
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def first_of_each_group(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs``, all their columns, that are the first of their group.
-
-    The first has the group's smallest doc_id; of equal ids one row stays. Rows with a null doc_id
-    stay only where their group has no other, and then one of them.
-    """
-    packed = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("d"), F.struct("*").alias("packed"))
-    groups = near_duplicate_groups(docs, **how)
-    first = groups.select(F.coalesce(F.col("component_id").cast("string"), F.lit("-")).alias("d")).distinct()
-    # The join and the window share one partitioning by id, so texts are shuffled once.
-    row = F.row_number().over(W.partitionBy("d").orderBy(F.xxhash64("packed")))
-    return packed.join(first, "d").withColumn("k", row).where("k = 1").select("packed.*")
-
-
 def hexadecimal(fp):
     """Sixteen lower-case digits of a long's bits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from pricetrail.llm import line_rules, simhash
+from pricetrail.llm import line_rules, near_copies
 
 ROOT = "/root/testdata/sf0.01"
 
@@ -23,7 +23,7 @@ def test_stages_keep_their_promises(spark, tmp_path):
     rows = spark.createDataFrame(before)
     assert sorted(r["doc_id"] for r in after) == sorted(r["doc_id"] for r in line_rules.judged(rows).where("kept").collect())
     before, after = seen["near_dedup"]
-    groups = simhash.near_duplicate_groups(spark.createDataFrame(before)).select("component_id").distinct().collect()
+    groups = near_copies.near_copy_groups(spark.createDataFrame(before)).select("component_id").distinct().collect()
     assert sorted(r["doc_id"] for r in after) == sorted(r[0] for r in groups)
     before, after = seen["mix_sources"]
     size = lambda rows: sum(len((r["text"] or "").encode().split()) for r in rows)

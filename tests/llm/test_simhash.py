@@ -97,8 +97,6 @@ def test_against_brute_force(spark):
         got = simhash.near_duplicate_groups(frame, hot_bucket=hot)
         got = got.select("doc_id", simhash.hexadecimal("fp").alias("f"), "component_id").collect()
         assert sorted(map(tuple, got)) == wanted
-    kept = simhash.first_of_each_group(frame).collect()
-    assert sorted(r["doc_id"] for r in kept) == sorted({w[2] for w in wanted})
 
 
 def test_nulls_repeats_and_nothing(spark):
@@ -106,6 +104,4 @@ def test_nulls_repeats_and_nothing(spark):
     frame = spark.createDataFrame([(None, "a b c d", "x", 1), (5, "a b c d", "y", 2), (5, "a b c d", "y", 2), (None, "q", "z", 3)], schema)
     got = sorted(map(str, simhash.near_duplicate_groups(frame).select("doc_id", "component_id").collect()))
     assert got == sorted(map(str, [*[f"Row(doc_id={d}, component_id={c})" for d, c in ((None, 5), (5, 5), (5, 5), (None, None))]]))
-    assert sorted(str(r["doc_id"]) for r in simhash.first_of_each_group(frame).collect()) == ["5", "None"]
     assert simhash.near_duplicate_groups(frame.limit(0)).collect() == []
-    assert simhash.first_of_each_group(frame.limit(0)).collect() == []
