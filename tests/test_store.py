@@ -145,3 +145,49 @@ def test_ids_stay_small_over_many_batches(spark):
         snapshots += [tuple(r) for r in done.snapshots.collect()]
     assert len({p[0] for p in products}) == 9 and max(p[0] for p in products) <= 18
     assert len({s[0] for s in snapshots}) == 18 and max(s[0] for s in snapshots) <= 18
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_tangled_addresses_match_one_by_one(spark, seed):
+    """A blank address and moving products tie many addresses and ids together."""
+    rng = random.Random(100 + seed)
+    rows = []
+    for seq in range(150):
+        kind = rng.random()
+        url = "" if kind < 0.35 else f"u{rng.randrange(12)}" if kind < 0.9 else f"new{seq}"
+        ext = None if rng.random() < 0.15 else f"e{rng.randrange(4 + 3 * seed)}"
+        rows.append(obs(seq, url=url, ext=ext, price=rng.choice(["1", "2"]), name=f"n{seq}"))
+    products = [(i, f"e{i % 5}", "old", f"u{i}" if i % 2 else f"gone{i}", None, None, None, T0, None) for i in range(1, 9)]
+    if seed % 2:
+        products.append((20, "e1", "old", "", None, None, None, T0, None))
+    expected, table = one_by_one(rows, products, [])
+    results, got, _ = run(spark, rows, products, hot_rows=40 if seed > 3 else None)
+    assert [r[:2] for r in results] == [r[:2] for r in expected]
+    assert results == expected and got == table
+
+
+def test_many_blank_addresses_are_spread(spark):
+    """A hundred thousand rows with a blank address: few rows are read in order, the others by ordered passes."""
+    from pricetrail.operators import identity
+
+    n = 100_000
+    rng = random.Random(9)
+    rows = []
+    for i in range(n):
+        own = rng.randrange(3000)
+        rows.append((i, "" if rng.random() < 0.9 else f"u{own}", f"e{own}" if rng.random() < 0.99 else f"e{rng.randrange(3000)}"))
+    frame = spark.createDataFrame(rows, "seq bigint, url string, external_id string")
+    products = spark.createDataFrame([(1, "", "e0")], "id bigint, url string, external_id string")
+    line = identity._timeline(frame, products, 20_000)
+    assert line.where("seq >= 0 AND (looks OR keep)").count() < n // 20
+    got = {r.seq: r.product_id for r in identity.resolve_products(frame, products, F.lit(10), hot_rows=20_000).select("seq", "product_id").collect()}
+    by_url, by_ext, state = {"": 1}, {"e0": {1}}, {1: ("", "e0")}
+    for seq, url, ext in rows:
+        p = by_url.get(url) or min(by_ext.get(ext, ()), default=None) or 10 + seq
+        old_url, old_ext = state.get(p, (None, None))
+        if by_url.get(old_url) == p and old_url != url:
+            del by_url[old_url]
+        by_ext.get(old_ext, set()).discard(p)
+        by_url[url], state[p] = p, (url, ext)
+        by_ext.setdefault(ext, set()).add(p)
+        assert got[seq] == p, seq
