@@ -13,7 +13,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 #: Bytes that go to Python at a time, so that a task holds a few megabytes of text.
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 3_000_000
 
 
 def text_batches(df: DataFrame) -> DataFrame:
