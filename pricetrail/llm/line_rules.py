@@ -22,9 +22,8 @@ MIN_WORDS = 10
 MAX_REPEATED = 20
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
-#: A line is removed if more documents of its host have it than both of these allow.
-LINE_DOCS = 10
-LINE_SHARE = 0.02
+#: A line is removed if more distinct documents of its host have it, however large the host is.
+LINE_DOCS = 100
 #: A document is rejected if less than this share of its words, or fewer than ``MIN_WORDS``, is left.
 MIN_LEFT = 0.3
 
@@ -130,30 +129,28 @@ def measured(docs: DataFrame) -> DataFrame:
     return text_batches(docs.select("doc_id", "source", "text")).mapInArrow(run, _SCHEMA)
 
 
-def frequent_lines(rows: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
-    """``host, line, docs``: lines in more distinct documents of a host than the limits allow.
+def frequent_lines(rows: DataFrame, line_docs: int = LINE_DOCS) -> DataFrame:
+    """``host, line, docs``: lines in more distinct documents of a host than the limit allows.
 
-    Copies of one text count once. ``rows`` has ``host, text_hash, lines``.
+    Copies of one text are one document: whether they stay is for deduplication to say, not for the
+    lines they share with themselves. ``rows`` has ``host, text_hash, lines``.
     """
-    one = rows.select("host", "text_hash")
-    hosts = one.distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    by_line = (
+    return (
         rows.select("host", "text_hash", F.explode("lines.line").alias("line")).distinct()
         .groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > line_docs)
     )
-    return by_line.join(small_or_not(hosts, 1024), "host").where(F.col("docs") > line_share * F.col("host_docs")).select("host", "line", "docs")
 
 
-def judged(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def judged(docs: DataFrame, line_docs: int = LINE_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
     """Counts, ``base_failed``, ``n_left``, ``removed`` (hashes of removed lines) and ``kept`` of every row.
 
     Reads ``doc_id, source, text``; other columns are not read. A null or blank text has no words and
     fails; a null source is a host of its own; repeated rows are judged alike and count as one
-    document; an empty table gives no rows.
+    document; an empty table gives no rows. A text of any length is read whole, by one task.
     """
     host = F.coalesce(F.concat(F.lit("="), "source"), F.lit("-"))
     rows = cut(measured(docs).withColumn("host", host).withColumn("uid", F.monotonically_increasing_id()))
-    return _verdicts(rows, cut(frequent_lines(rows, line_docs, line_share)), min_left)
+    return _verdicts(rows, cut(frequent_lines(rows, line_docs)), min_left)
 
 
 def _verdicts(rows: DataFrame, frequent: DataFrame, min_left: float) -> DataFrame:
@@ -238,13 +235,13 @@ def _by_held_lines(packed: DataFrame, frequent: DataFrame, kind: str, min_left:
     return packed.mapInArrow(run, f"packed {kind}, clean string")
 
 
-#: Frequent lines that every task may hold. A host has at most its lines a document over the share
-#: a line must exceed, so their number follows the hosts; beyond this, rows meet their lines in joins.
+#: Frequent lines that every task may hold; their number grows with the table, so it is counted, and
+#: beyond this rows meet their lines in joins.
 HELD_LINES = 500_000
 
 
 def cleaned(
-    docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, min_left: float = MIN_LEFT, held_lines: int = HELD_LINES
+    docs: DataFrame, line_docs: int = LINE_DOCS, min_left: float = MIN_LEFT, held_lines: int = HELD_LINES
 ) -> DataFrame:
     """The kept rows of ``docs`` without the removed lines; ``n_chars``, if there, follows the text.
 
@@ -254,7 +251,7 @@ def cleaned(
     packed = docs.select("doc_id", "source", "text", host, F.struct("*").alias("packed"))
     kind = packed.schema["packed"].dataType.simpleString()
     rows = cut(measured(docs).withColumn("host", host).withColumn("uid", F.monotonically_increasing_id()))
-    frequent = cut(frequent_lines(rows, line_docs, line_share))
+    frequent = cut(frequent_lines(rows, line_docs))
     if frequent.count() <= held_lines:
         done = _by_held_lines(packed, frequent, kind, min_left)
     else:
@@ -290,10 +287,8 @@ WITH d AS (
 ), dup AS (
   SELECT rid, count(*) AS n_dup_lines FROM (SELECT rid, row_number() OVER (PARTITION BY rid, line ORDER BY p) AS r FROM l WHERE len(lw) > 0)
   WHERE r > 1 GROUP BY rid
-), hosts AS (SELECT host, count(DISTINCT t) AS host_docs FROM d GROUP BY host),
-freq AS (
-  SELECT l.host, l.lw FROM l JOIN hosts USING (host) WHERE len(l.lw) > 0 GROUP BY l.host, l.lw, host_docs
-  HAVING count(DISTINCT l.t) > {LINE_DOCS} AND count(DISTINCT l.t) > {LINE_SHARE} * host_docs
+), freq AS (
+  SELECT host, lw FROM l WHERE len(lw) > 0 GROUP BY host, lw HAVING count(DISTINCT t) > {LINE_DOCS}
 ), gone AS (
   SELECT l.rid, sum(len(l.lw)) AS gone FROM l JOIN freq ON l.host = freq.host AND l.lw = freq.lw GROUP BY l.rid
 ), m AS (
