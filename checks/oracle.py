@@ -508,6 +508,72 @@ ORACLE["t9_products"] = q(
    FROM v_obs o JOIN v_own w ON w.part = o.product_id GROUP BY w.pid, product_id) o ON o.pid = k.id""",
     STORE,
 )
+_state = "{'p': pc, 'o': oc, 'f': promo_flag, 's': in_stock}"
+# Out of order: each product's rows one after another, beside the stored row that is newest by capture time.
+LATE = STORE.split("v_pos AS")[0] + f"""
+v_turned AS (SELECT *, CASE WHEN queue_id % 3 = 0 THEN seq ELSE -seq END AS arr FROM v_obs),
+v_pos AS (SELECT arr, row_number() OVER (ORDER BY arr) - 1 AS pos FROM v_turned),
+v_own AS (
+  SELECT product_id AS part, coalesce(max(k.id), (SELECT max(id) + 1 FROM v_known) + min(pos)) AS pid
+  FROM v_turned o JOIN v_pos USING (arr) LEFT JOIN v_known k ON k.id = o.product_id GROUP BY product_id),
+v_all AS (
+  SELECT arr, pos, w.pid, (SELECT max(id) + 1 FROM v_held) + pos AS own, {_valid} AS ok, {_state} AS cur, captured_at
+  FROM v_turned o JOIN v_pos USING (arr) JOIN v_own w ON w.part = o.product_id
+  UNION ALL
+  SELECT NULL, -1, product_id, id, true, {_state}, captured_at FROM (
+    SELECT * FROM v_held WHERE product_id IN (SELECT product_id FROM v_obs)
+    QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY captured_at DESC, id DESC) = 1)),
+v_n AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY pos) AS k FROM v_all),
+v_step AS (
+  SELECT pid, k, arr, ok AS st, CASE WHEN ok THEN own END AS sid, CASE WHEN ok THEN own END AS bid, CASE WHEN ok THEN captured_at END AS bt, cur AS bs
+  FROM v_n WHERE k = 1
+  UNION ALL
+  SELECT pid, k, arr, st, CASE WHEN st THEN own ELSE bid END, CASE WHEN newer THEN own ELSE bid END, CASE WHEN newer THEN captured_at ELSE bt END,
+    CASE WHEN newer THEN cur ELSE bs END FROM (
+    SELECT *, st AND (bid IS NULL OR captured_at > bt OR (captured_at = bt AND own > bid)) AS newer FROM (
+      SELECT n.pid, n.k, n.arr, n.own, n.cur, n.captured_at, r.bid, r.bt, r.bs, n.ok AND (r.bid IS NULL OR n.cur IS DISTINCT FROM r.bs) AS st
+      FROM v_step r JOIN v_n n ON n.pid = r.pid AND n.k = r.k + 1)))
+"""
+ORACLE["t9_late"] = q(
+    "SELECT arr AS seq, pid AS product_id, sid AS snapshot_id, st AS snapshot_created FROM v_step WHERE arr IS NOT NULL", LATE
+).replace("WITH", "WITH RECURSIVE", 1)
+# The second batch's ids begin after what the first one made.
+TWICE = STORE.split("v_pos AS")[0] + f"""
+v_two AS (SELECT *, CASE WHEN captured_at >= TIMESTAMP '1997-06-01 00:00:00' THEN 2 ELSE 1 END AS batch FROM v_obs),
+v_pos AS (SELECT seq AS arrival, batch, row_number() OVER (PARTITION BY batch ORDER BY seq) - 1 AS pos FROM v_two),
+v_first AS (
+  SELECT product_id AS part, max(k.id) AS known, min(pos) FILTER (o.batch = 1) AS p1, min(pos) FILTER (o.batch = 2) AS p2
+  FROM v_two o JOIN v_pos ON arrival = seq LEFT JOIN v_known k ON k.id = o.product_id GROUP BY product_id),
+v_base AS (SELECT (SELECT max(id) + 1 FROM v_known) AS b1, greatest((SELECT max(id) FROM v_known), max((SELECT max(id) + 1 FROM v_known) + p1) FILTER (known IS NULL)) + 1 AS b2 FROM v_first),
+v_own AS (SELECT part, coalesce(known, b1 + p1, b2 + p2) AS pid FROM v_first, v_base),
+v_lag AS (
+  SELECT *, lag(cur IGNORE NULLS) OVER (PARTITION BY pid ORDER BY seq) AS bef FROM (
+    SELECT o.seq, o.batch, p.pos, w.pid, CASE WHEN {_valid} THEN {_state} END AS cur FROM v_two o JOIN v_pos p ON p.arrival = o.seq JOIN v_own w ON w.part = o.product_id
+    UNION ALL
+    SELECT -1, 0, id, product_id, {_state} FROM (
+      SELECT * FROM v_held WHERE product_id IN (SELECT product_id FROM v_obs)
+      QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY captured_at DESC, id DESC) = 1))),
+v_dec AS (SELECT *, batch = 0 OR (cur IS NOT NULL AND (bef IS NULL OR cur IS DISTINCT FROM bef)) AS st FROM v_lag),
+v_ids AS (SELECT max(id) + 1 AS s1, greatest(max(id), (SELECT max((SELECT max(id) + 1 FROM v_held) + pos) FROM v_dec WHERE batch = 1 AND st)) + 1 AS s2 FROM v_held),
+v_res AS (
+  SELECT *, last_value(CASE WHEN st THEN CASE batch WHEN 0 THEN pos WHEN 1 THEN s1 + pos ELSE s2 + pos END END IGNORE NULLS)
+    OVER (PARTITION BY pid ORDER BY seq) AS sid FROM v_dec, v_ids)
+"""
+ORACLE["t9_two_batches"] = q("SELECT seq, pid AS product_id, sid AS snapshot_id, st AS snapshot_created, CAST(batch AS INT) AS batch FROM v_res WHERE batch > 0", TWICE)
+# One observation after another: the product with its url, else the smallest with its id, else a new one.
+ORACLE["t9_tangled"] = """WITH RECURSIVE c AS (
+  SELECT c_custkey AS seq, row_number() OVER (ORDER BY c_custkey) AS n, CASE WHEN c_custkey % 5 <> 0 THEN 'e' || (c_custkey * 7 % 53 + c_nationkey % 2) END AS x,
+    CASE WHEN c_custkey % 3 = 0 THEN '' WHEN c_custkey % 7 = 0 THEN 'n' || c_custkey ELSE 'u' || (c_custkey % 61) END AS u FROM customer),
+r AS (
+  SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS p,
+    (SELECT list({'id': CAST(s_suppkey AS BIGINT), 'u': 'u' || s_suppkey, 'x': 'e' || (s_suppkey % 53)} ORDER BY s_suppkey) FROM supplier) AS held
+  UNION ALL
+  SELECT n, seq, p, CASE WHEN met IS NULL THEN list_append(held, {'id': p, 'u': u, 'x': x})
+      ELSE [CASE WHEN h.id = p THEN {'id': h.id, 'u': u, 'x': coalesce(x, h.x)} ELSE h END for h in held] END FROM (
+    SELECT *, coalesce(met, (SELECT max(s_suppkey) + 1 FROM supplier) + seq) AS p FROM (
+      SELECT c.n, c.seq, c.u, c.x, r.held, coalesce(list_min([h.id for h in r.held if h.u = c.u]), list_min([h.id for h in r.held if h.x = c.x])) AS met
+      FROM r JOIN c ON c.n = r.n + 1)))
+SELECT seq, p AS product_id FROM r WHERE n > 0"""
 ORACLE["j7_match_existing"] = q(
     f"""SELECT CAST(date_diff('day', DATE '1970-01-01', CAST(captured_at AS DATE)) AS BIGINT) * 281474976710656
   + (s.id & 281474976710655) AS seq,

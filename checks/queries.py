@@ -9,14 +9,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from checks import derived
 from pricetrail.functions import display, fetch, pricing, status, text, urls
 from pricetrail.operators import (
-    breaker, discovery, extract, grid, history, legacy, observations, queue, routing,
+    breaker, discovery, extract, grid, history, identity, legacy, observations, queue, routing,
 )
 from pricetrail.operators.numbering import numbered
 from pricetrail.plans import chart, health, live, products as product_plans, runs as run_plans
+from pricetrail.session import cut
 from pricetrail.sources import config, documents, star_schema as star, tables
 
 AS_OF = "2024-01-20 00:00:00"
 BATCH_START = "1996-01-01 00:00:00"
+SECOND_BATCH = "1997-06-01 00:00:00"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -432,7 +434,8 @@ def _(spark, root):
 # --- observation store --------------------------------------------------------------
 
 
-def _store(spark, root):
+def _arriving(spark, root):
+    """Known products, their history before the batch, and the batch."""
     shots = star.snapshots(spark, root)
     cut_at = as_of(BATCH_START)
     small = star.products(spark, root).where(F.col("pack_unit").isNotNull())
@@ -444,9 +447,62 @@ def _store(spark, root):
     arriving = star.observations(spark, root).join(known, "slug", "left").where(
         (F.col("observed_at") >= cut_at) | F.col("_known").isNull()
     )
+    return arriving, small, held, cut_at
+
+
+def _store(spark, root):
+    arriving, small, held, cut_at = _arriving(spark, root)
     return observations.store_observations(arriving, small, held, now=cut_at)
 
 
+@query("t9_late")
+def _(spark, root):
+    """The batch of t9_observation_store out of order: two thirds arrive first, newest first."""
+    arriving, small, held, cut_at = _arriving(spark, root)
+    turned = arriving.withColumn("seq", F.when(F.col("queue_id") % 3 == 0, F.col("seq")).otherwise(-F.col("seq")))
+    return observations.store_observations(turned, small, held, now=cut_at).results
+
+
+@query("t9_two_batches")
+def _(spark, root):
+    """The batch in two parts, the second stored over what the first left."""
+    arriving, small, held, cut_at = _arriving(spark, root)
+    later = F.col("observed_at") >= as_of(SECOND_BATCH)
+    one = observations.store_observations(arriving.where(~later), small, held, now=cut_at)
+    products, first = cut(one.products), cut(one.snapshots)
+    two = observations.store_observations(arriving.where(later), products, held.unionByName(first.select(held.columns)), now=cut_at)
+    parts = [one.results.withColumn("batch", F.lit(1)), two.results.withColumn("batch", F.lit(2))]
+    return parts[0].unionByName(parts[1])
+
+
+def _tangled(spark, root):
+    """A customer as an observation: many without an address, addresses and ids that mix."""
+    key, nation = F.col("c_custkey"), F.col("c_nationkey")
+    address = F.when(key % 3 == 0, "").when(key % 7 == 0, F.concat(F.lit("n"), key.cast("string"))).otherwise(
+        F.concat(F.lit("u"), (key % 61).cast("string"))
+    )
+    return star.table(spark, root, "customer").select(
+        key.alias("seq"), F.lit(1).cast("bigint").alias("run_id"), key.alias("queue_id"),
+        F.when(key % 5 != 0, F.concat(F.lit("e"), (key * 7 % 53 + nation % 2).cast("string"))).alias("external_id"),
+        F.lit("n").alias("name"), address.alias("url"), F.lit(None).cast("string").alias("slug"), F.lit(None).cast("decimal(18,6)").alias("pack_value"),
+        F.lit(None).cast("string").alias("pack_unit"), F.lit(1).cast("decimal(18,2)").alias("price"), F.lit(None).cast("decimal(18,2)").alias("old_price"),
+        F.lit(False).alias("promo_flag"), F.lit(True).alias("in_stock"), F.lit(None).cast("timestamp_ntz").alias("observed_at"),
+    )
+
+
+@query("t9_tangled")
+def _(spark, root):
+    """Which product each observation meets where addresses and ids tie almost all together."""
+    clean = observations.normalize_observations(_tangled(spark, root), as_of())
+    suppliers = star.table(spark, root, "supplier")
+    known = suppliers.select(
+        F.col("s_suppkey").alias("id"), F.concat(F.lit("e"), (F.col("s_suppkey") % 53).cast("string")).alias("external_id"),
+        F.concat(F.lit("u"), F.col("s_suppkey").cast("string")).alias("url"),
+    )
+    base = F.lit(known.agg(F.max("id") + 1).first()[0]).cast("bigint")
+    return identity.resolve_products(clean, known, base).select("seq", "product_id")
+
+
 @query("t9_observation_store")
 def _(spark, root):
     return _store(spark, root).results

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from pricetrail import schemas as S
 from pricetrail.functions import pricing, text
 from pricetrail.operators import identity
 from pricetrail.operators.history import STATE, latest_snapshots
 from pricetrail.operators.numbering import numbered
-from pricetrail.operators.ordered import Ordered
+from pricetrail.operators.ordered import Ordered, hot_row_limit
 from pricetrail.session import cut
 
 
@@ -132,11 +135,53 @@ def _stored_rows(
 def _settle_late(rows: DataFrame, hot_rows: int | None) -> DataFrame:
     """Products with late rows: compare with the stored row that is newest by capture time.
 
+    One sorted pass over each product's rows that holds one stored row. Products above the hot row
+    limit are split and settled by rounds.
+    """
+    current = rows.drop("snapshot_id")
+    limit = hot_row_limit(rows, hot_rows)
+    hot = cut(current.groupBy("product_id").count().where(F.col("count") > limit).select("product_id"))
+    if hot.isEmpty():
+        return _settle_in_order(current)
+    few = F.broadcast(hot)  # at most rows / limit products
+    return _settle_in_order(current.join(few, "product_id", "left_anti")).unionByName(
+        _settle_by_rounds(current.join(few, "product_id", "left_semi"), hot_rows)
+    )
+
+
+def _settle_in_order(rows: DataFrame) -> DataFrame:
+    plain = rows.drop("stored")
+    told = F.concat_ws("|", *[F.coalesce(F.col(n).cast("string"), F.lit("-")) for n in STATE])
+    keyed = plain.withColumns({"_told": told, "_at": F.unix_micros(F.col("observed_at").cast("timestamp"))})
+    names, out = keyed.columns, [*plain.columns, "stored", "snapshot_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        product, best = None, None  # the stored row that is newest: (capture time, id, state)
+        for batch in batches:
+            stored, ids = [], []
+            for key, own, at, valid, state in zip(*(batch.column(names.index(n)).to_pylist() for n in ("product_id", "own_id", "_at", "valid", "_told"))):
+                if key != product:
+                    product, best = key, None
+                keeps = bool(valid) and (best is None or best[2] != state)
+                stored.append(keeps)
+                ids.append(own if keeps else best and best[1])
+                if keeps and (best is None or (at, own) > best[:2]):
+                    best = (at, own, state)
+            kept = [batch.column(i) for i, n in enumerate(names) if n not in ("_told", "_at")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(stored, pa.bool_()), pa.array(ids, pa.int64())], out)
+
+    schema = StructType([*plain.schema.fields, StructField("stored", BooleanType()), StructField("snapshot_id", LongType())])
+    ordered = keyed.repartition("product_id").sortWithinPartitions("product_id", "seq")
+    return ordered.mapInArrow(run, schema).where("seq >= 0").select(*[c for c in rows.columns], "snapshot_id")
+
+
+def _settle_by_rounds(current: DataFrame, hot_rows: int | None) -> DataFrame:
+    """The same for split products.
+
     Which rows are stored depends on earlier decisions, so the decision is repeated until
     it stays the same. Every pass settles at least the first undecided row of each product,
     and the only stable outcome is the one-by-one outcome.
     """
-    current = rows.drop("snapshot_id")
     kept = F.struct("observed_at", "own_id", *STATE)
     while True:
         ordered = Ordered(current, ["product_id"], ["seq"], hot_rows=hot_rows).running(
