@@ -20,11 +20,12 @@ from pricetrail.session import cut
 
 @dataclass(frozen=True)
 class StoreResult:
-    """``results`` per observation, ``snapshots`` to append, the new ``products`` table."""
+    """``results`` per observation, ``snapshots`` to append, the new ``products`` table and its ``changed`` rows."""
 
     results: DataFrame
     snapshots: DataFrame
     products: DataFrame
+    changed: DataFrame
 
 
 def normalize_observations(observations: DataFrame, now: Column) -> DataFrame:
@@ -80,7 +81,8 @@ def store_observations(
     results = rows.select(
         F.col("arrival").alias("seq"), "product_id", "snapshot_id", "snapshot_created"
     )
-    return StoreResult(results, new_snapshots, merge_products(products, placed))
+    met = products.join(placed.select(F.col("product_id").alias("id")).distinct(), "id", "left_semi").select(products.columns)
+    return StoreResult(results, new_snapshots, merge_products(products, placed), merge_products(met, placed))
 
 
 def _state() -> Column:

@@ -20,13 +20,6 @@ def test_tables_round_trip(spark, tmp_path):
     assert tables.read_table(spark, str(tmp_path), "product").count() == 0
 
 
-def test_versions(spark, tmp_path):
-    root = str(tmp_path)
-    for n in (1, 2, 2):
-        tables.publish_version(spark.range(n).withColumnRenamed("id", "v"), root, "t", n)
-    assert tables.current_version(spark, root, "t").count() == 2
-
-
 def test_gzip_and_log(spark, tmp_path):
     folder = tmp_path / "maps"
     folder.mkdir()
