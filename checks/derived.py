@@ -202,26 +202,26 @@ def product_pages(spark: SparkSession, root: str) -> DataFrame:
     sale_cents = list_cents - F.col("p_size") * 100
     full = F.format_string("%d.%02d", F.floor(list_cents / 100), list_cents % 100)
     sale = F.format_string("%d.%02d", F.floor(sale_cents / 100), sale_cents % 100)
-    name = F.col("p_name")
+    name, size = F.col("p_name"), F.col("p_size").cast("string")
     style = F.col("p_size") % 4
     head = F.concat(F.lit("<!DOCTYPE html><html><head><title> Buy  "), name, F.lit(" &amp; more</title>"))
     ld_plain = F.concat(
         F.lit('<script type="application/ld+json">{"@type":"Organization","name":"S"}</script>'),
         F.lit('<script data-x="1" type="application/ld+json">{"@context":"x","@type":"Product","name":" '), name,
         F.lit(' ","sku":"'), key, F.lit('","offers":{"@type":"Offer","price":'), full,
-        F.lit(',"priceCurrency":"UAH"}}</script></head><body><h1>Other</h1><p>Вага 2,5 кг</p></body></html>'),
+        F.lit(',"priceCurrency":"UAH"}}</script></head><body><h1>Other</h1><p>net '), size, F.lit(",5 кг</p></body></html>"),
     )
     ld_list = F.concat(
         F.lit('<script type="application/ld+json">{broken</script><script type="application/ld+json">'
               '[{"@type":"WebPage"},{"@type":["Thing","product"],"name":"'), name,
         F.lit('","sku":12,"offers":[{"price":null},{"price":"'), sale,
         F.lit('"}]}]</script></head><body><p>Артикул: '), key,
-        F.lit('</p><script>var q = {"quantityText":"пачка 2 шт (250 г)"};</script></body></html>'),
+        F.lit('</p><script>var q = {"quantityText":"'), F.col("p_type"), F.lit("/"), size, F.lit('0г"};</script></body></html>'),
     )
     scraped = F.concat(
         F.lit("</head><body class=\"p\"><!-- 1 грн --><h1>Товар <b>"), name,
         F.lit("</b> &lt;new&gt;</h1><p>Код SKU: "), key, F.lit("</p><del>~~"), full,
-        F.lit("~~</del> <span>"), F.translate(sale, ".", ","), F.lit(" грн</span><p>Кефір 750 мл</p></body></html>"),
+        F.lit("~~</del> <span>"), F.translate(sale, ".", ","), F.lit(" грн</span><p>"), F.col("p_type"), F.lit(" à "), size, F.lit("5 мл</p></body></html>"),
     )
     inline = F.concat(
         F.lit("</head><body><h1>"), name, F.lit('</h1><p>Артикул '), key,

@@ -237,7 +237,7 @@ ORACLE["q8_history_pages"] = q(
 # Expected cards of the rendered product pages.
 PAGES = """
 v_style AS (
-  SELECT p_partkey AS k, p_name AS name, p_size AS size, p_size % 4 AS style,
+  SELECT p_partkey AS k, p_name AS name, p_size AS size, p_type AS kind, p_size % 4 AS style,
          CAST(round(p_retailprice * 100) AS BIGINT) AS fullc,
          CAST(round(p_retailprice * 100) AS BIGINT) - p_size * 100 AS salec,
          CASE WHEN p_size = 47 THEN 'timeout' WHEN p_size = 50 THEN 'not_found' WHEN p_size = 49 THEN 'http_5xx'
@@ -253,8 +253,8 @@ v_page AS (
    CASE WHEN err IS NULL THEN CASE WHEN style IN (2, 3) THEN fullc END END AS oc,
    CASE WHEN err IS NULL THEN style IN (2, 3) END AS promo_flag,
    CASE WHEN err IS NULL THEN style = 3 END AS in_stock,
-   CASE WHEN err IS NULL THEN CASE style WHEN 0 THEN 2.5 WHEN 1 THEN 250.0 WHEN 2 THEN 750.0 END END AS pack_value,
-   CASE WHEN err IS NULL THEN CASE style WHEN 0 THEN 'кг' WHEN 1 THEN 'пачка 2 шт (250 г)' WHEN 2 THEN 'мл' END END AS pack_unit,
+   CASE WHEN err IS NULL THEN CASE style WHEN 0 THEN size + 0.5 WHEN 1 THEN size * 10.0 WHEN 2 THEN size * 10.0 + 5 END END AS pack_value,
+   CASE WHEN err IS NULL THEN CASE style WHEN 0 THEN 'кг' WHEN 1 THEN kind || '/' || size || '0г' WHEN 2 THEN 'мл' END END AS pack_unit,
    CASE WHEN err IS NULL THEN CASE style
      WHEN 2 THEN CAST((2 * 100 * (fullc - salec) + fullc) // (2 * fullc) AS INT) WHEN 3 THEN 7 END END AS discount_percent
   FROM v_style)

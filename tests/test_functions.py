@@ -1,3 +1,4 @@
+import random
 from decimal import Decimal as D
 
 import pytest
@@ -140,23 +141,57 @@ def test_idempotency_key_is_the_sha_of_run_and_url(spark):
     assert one(spark, urls.idempotency_key(F.lit(7), F.lit(" u "))) == hashlib.sha256(b"7:u").hexdigest()
 
 
-PACKS = [
-    ("Морква 3 кг", D("3"), "кг"), ("Кефір 750 мл", D("750"), "мл"), ("Рис 2.5 кг", D("2.5"), "кг"),
-    ("Перець 0,3 кг", D("0.3"), "кг"), ('"quantityText":"пачка 2 шт (250 г)"', D("250"), "пачка 2 шт (250 г)"),
-    ("Свіжий лимон 3 кг", D("3"), "кг"), ('{"QUANTITYTEXT" : " шт "}', None, "шт"), ("nothing", None, None),
-    ("Сік 1 000,5 Л", D("1000.5"), "л"),
-]
-
-
-def test_pack_and_price_text(spark):
-    got = evaluate(spark, lambda c: parsing.pack(c, F.lower(c)), [p[0] for p in PACKS])
-    assert [(g and g["value"], g and g["unit"]) for g in got] == [p[1:] for p in PACKS]
-    texts = ["Ціна 45,60 грн", "Коштує 8.75 грн", "~~31,20~~ 27,80 грн", "5 грн 7 ₴", "без ціни", "1.2.3 грн"]
-    assert evaluate(spark, lambda c: parsing.text_price(F.lower(c)), texts) == [
-        D("45.60"), D("8.75"), D("27.80"), D("7"), None, None]
-    assert evaluate(spark, parsing.text_old_price, texts)[2] == D("31.20")
-    ids = ["x Артикул:  123 y", "Артикул 77", "SKU:5", "Артикул: a SKU: 9", "артикул:44"]
-    assert evaluate(spark, lambda c: parsing.marked_id(F.lower(c)), ids) == ["123", "77", "5", "9", "44"]
+def told_numbers(rng, n):
+    """Numbers as pages write them, beside what they mean."""
+    for _ in range(n):
+        whole, part = rng.randint(1, 4000), rng.choice(["", f"{rng.randint(1, 9)}", f"{rng.randint(10, 99)}"])
+        shown = f"{whole:,}".replace(",", " ") if rng.random() < 0.5 else str(whole)
+        yield shown + (rng.choice(",.") + part if part else ""), D(f"{whole}.{part}" if part else whole)
+
+
+def test_amounts_beside_units(spark):
+    rng = random.Random(21)
+    cases = []
+    for unit in parsing.PACK_UNITS:
+        for shown, value in told_numbers(rng, 6):
+            tail = rng.choice(["", " net", "; x"])
+            cases.append((f"{rng.choice(['item', 'goods -', ''])} {shown} {rng.choice([unit, unit.upper()])}{tail}", value, unit))
+    got = evaluate(spark, lambda c: parsing.pack(c, F.lower(c)), [c[0] for c in cases])
+    assert [(g["value"], g["unit"]) for g in got] == [c[1:] for c in cases]
+    assert evaluate(spark, lambda c: parsing.pack(c, F.lower(c)), ["item", "4 boxes"]) == [None, None]
+
+
+def test_quoted_quantity_wins(spark):
+    rng = random.Random(22)
+    cases = []
+    for _ in range(12):
+        amount, unit, packs = rng.randint(1, 900), rng.choice(parsing.PACK_UNITS), rng.randint(2, 40)
+        told = rng.choice([f"{amount}{unit} x {packs}", f"{packs} x {amount} {unit}", f"box/{amount} {unit}"])
+        key = rng.choice(["quantityText", "QuantityText", "QUANTITYTEXT"])
+        cases.append((f'9 {unit} {{"a":1,"{key}"{rng.choice([":", " : "])}"{told}"}}', D(amount), told))
+    cases.append(('{"quantityText":"each"}', None, "each"))
+    got = evaluate(spark, lambda c: parsing.pack(c, F.lower(c)), [c[0] for c in cases])
+    assert [(g["value"], g["unit"]) for g in got] == [c[1:] for c in cases]
+
+
+def test_marked_amounts_and_ids(spark):
+    rng = random.Random(23)
+    shown, prices, struck, old, marked, ids = [], [], [], [], [], []
+    for text, value in told_numbers(rng, 20):
+        marker = rng.choice(parsing.MONEY_MARKERS)
+        shown.append(f"{rng.choice(['now', '-', 'a: '])} {text}{marker}")
+        prices.append(value)
+        struck.append(f"was ~~{text}~~ and {marker}")
+        old.append(value)
+        number = str(rng.randint(1, 10**9))
+        marked.append(f"q {rng.choice(parsing.ID_MARKERS)}{' ' * rng.randint(0, 3)}{number} z")
+        ids.append(number)
+    assert evaluate(spark, lambda c: parsing.text_price(F.lower(c)), shown) == prices
+    assert evaluate(spark, parsing.text_old_price, struck) == old
+    assert evaluate(spark, lambda c: parsing.marked_id(F.lower(c)), marked) == ids
+    # Of several marked amounts the first marker of the list decides; what is no number is no price.
+    first, last = parsing.MONEY_MARKERS[0], parsing.MONEY_MARKERS[-1]
+    assert evaluate(spark, lambda c: parsing.text_price(F.lower(c)), [f"1{last} 2{first}", "free", f"8.8.8{first}"]) == [D("2"), None, None]
 
 
 def test_shown_amounts(spark):
