@@ -71,6 +71,36 @@ def sitemap_responses(spark: SparkSession, root: str) -> DataFrame:
     return leaves.unionByName(indexes).unionByName(roots)
 
 
+CAPPED_CHUNK = 7
+MAX_CAPPED, MAX_TOP = 40, 10
+
+
+def capped_responses(spark: SparkSession, root: str) -> DataFrame:
+    """Per host one index of many files: every fifth is an index of the first index again and of a leaf,
+    every seventh can't be read."""
+    chunk = F.floor(F.col("page_id") / CAPPED_CHUNK)
+    files = sited_pages(spark, root).groupBy("site", chunk.alias("n")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("page_id", "url"))), lambda p: p["url"]).alias("locs")
+    )
+    top = F.concat(F.lit("https://"), F.col("site"), F.lit("/parts.xml"))
+    nested, broken = F.col("n") % 5 == 4, F.col("n") % 7 == 6
+    plain = files.where(~nested).select(*_document(_file("part", F.col("n")), "urlset", "url", F.col("locs")), broken.alias("_broken"))
+    loops = files.where(nested).select(
+        *_document(_file("part", F.col("n")), "sitemapindex", "sitemap", F.array(top, _file("leaf", F.col("n")))), broken.alias("_broken")
+    )
+    leaves = files.where(nested).select(*_document(_file("leaf", F.col("n")), "urlset", "url", F.col("locs")), F.lit(False).alias("_broken"))
+    tops = files.groupBy("site").agg(F.array_sort(F.collect_list("n")).alias("parts")).select(
+        *_document(top, "sitemapindex", "sitemap", F.transform("parts", lambda n: _file("part", n))), F.lit(False).alias("_broken")
+    )
+    every = plain.unionByName(loops).unionByName(leaves).unionByName(tops)
+    return every.withColumn("status", F.when(F.col("_broken"), 500).otherwise(F.col("status"))).drop("_broken")
+
+
+def capped_roots(spark: SparkSession, root: str) -> DataFrame:
+    sites = sited_pages(spark, root).select("site").distinct()
+    return sites.select("site", F.concat(F.lit("https://"), F.col("site"), F.lit("/parts.xml")).alias("sitemap_url"))
+
+
 def sitemap_roots(spark: SparkSession, root: str) -> DataFrame:
     sites = sited_pages(spark, root).select("site").distinct()
     return sites.select(

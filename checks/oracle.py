@@ -574,6 +574,18 @@ r AS (
       SELECT c.n, c.seq, c.u, c.x, r.held, coalesce(list_min([h.id for h in r.held if h.u = c.u]), list_min([h.id for h in r.held if h.x = c.x])) AS met
       FROM r JOIN c ON c.n = r.n + 1)))
 SELECT seq, p AS product_id FROM r WHERE n > 0"""
+_keys = "CAST(date_diff('day', DATE '1970-01-01', CAST(captured_at AS DATE)) AS BIGINT) * 281474976710656 + (id & 281474976710655)"
+ORACLE["st1_changes"] = q(
+    f"""SELECT product_id, seq, captured_at AS observed_at, {two('pc')} AS price, {two('oc')} AS old_price, promo_flag, in_stock FROM (
+  SELECT *, lag({_state}) OVER (PARTITION BY product_id ORDER BY seq) AS bef FROM (SELECT *, {_keys} AS seq FROM v_snapshot) WHERE {_valid})
+  WHERE bef IS NULL OR bef IS DISTINCT FROM {_state}"""
+)
+ORACLE["s12_stream_products"] = f"SELECT slug, external_id, name, url, pack_unit, created_at, updated_at FROM ({ORACLE['t9_products']})"
+ORACLE["st2_live_counts"] = ORACLE["t8_queue_stats"]
+ORACLE["st2_lease_timeouts"] = q(
+    """SELECT run_id, id AS item_id, lease_until FROM v_queue WHERE status = 'reserved'
+  AND lease_until < (SELECT date_trunc('millisecond', max(ts)) FROM events)"""
+)
 ORACLE["j7_match_existing"] = q(
     f"""SELECT CAST(date_diff('day', DATE '1970-01-01', CAST(captured_at AS DATE)) AS BIGINT) * 281474976710656
   + (s.id & 281474976710655) AS seq,
@@ -679,6 +691,41 @@ ORACLE["t16_sitemap_walk"] = q(
     """SELECT site, row_number() OVER (PARTITION BY site ORDER BY p) - 1 AS pos, url FROM (
   SELECT site, url, min(page_id) AS p FROM v_host GROUP BY site, url)"""
 )
+# The capped walk reads the bodies: files by their place, no file twice on a way, then the caps.
+CAPPED = """WITH RECURSIVE v_file AS (
+  SELECT host AS site, page_id // 7 AS n, list(url ORDER BY page_id) AS locs FROM (SELECT lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)) AS host, page_id, url FROM pages) GROUP BY ALL
+), v_doc AS (
+  SELECT site, 'https://' || site || '/part-' || n || '.xml' AS url, n % 7 = 6 AS broken, CASE WHEN n % 5 = 4
+    THEN '<sitemapindex><sitemap><loc> https://' || site || '/parts.xml </loc></sitemap><sitemap><loc> https://' || site || '/leaf-' || n || '.xml </loc></sitemap></sitemapindex>'
+    ELSE '<urlset>' || array_to_string(['<url><loc> ' || replace(replace(u, '&', '&amp;'), '<', '&lt;') || ' </loc></url>' for u in locs], '') || '</urlset>' END AS body FROM v_file
+  UNION ALL
+  SELECT site, 'https://' || site || '/leaf-' || n || '.xml', false, '<urlset>' || array_to_string(['<url><loc> ' || replace(replace(u, '&', '&amp;'), '<', '&lt;') || ' </loc></url>' for u in locs], '') || '</urlset>' FROM v_file WHERE n % 5 = 4
+  UNION ALL
+  SELECT site, 'https://' || site || '/parts.xml', false, '<sitemapindex>' || string_agg('<sitemap><loc> https://' || site || '/part-' || n || '.xml </loc></sitemap>', '' ORDER BY n) || '</sitemapindex>' FROM v_file GROUP BY site
+), v_read AS (
+  SELECT url, CASE WHEN broken THEN NULL WHEN contains(body, '<sitemapindex>') THEN 'sitemapindex' ELSE 'urlset' END AS root,
+    [replace(replace(x, '&lt;', '<'), '&amp;', '&') for x in regexp_extract_all(body, '<loc>\\s*(.*?)\\s*</loc>', 1)] AS locs FROM v_doc
+), v_way AS (
+  SELECT DISTINCT site, 'https://' || site || '/parts.xml' AS url, CAST([] AS INT[]) AS place, CAST([] AS VARCHAR[]) AS way FROM v_file
+  UNION ALL
+  SELECT site, loc, place, way FROM (
+    SELECT w.site, unnest(r.locs) AS loc, list_append(w.place, unnest(range(len(r.locs)))::INT) AS place, list_append(w.way, w.url) AS way
+    FROM v_way w JOIN v_read r ON r.url = w.url AND r.root = 'sitemapindex')
+  WHERE NOT list_contains(way, loc) AND (len(place) > 1 OR place[1] < 10)
+), v_first AS (SELECT site, url, place FROM v_way QUALIFY row_number() OVER (PARTITION BY site, url ORDER BY place) = 1),
+v_bad AS (
+  SELECT f.site, f.url, f.place FROM v_first f LEFT JOIN v_read r ON r.url = f.url WHERE r.root IS NULL
+  QUALIFY row_number() OVER (PARTITION BY f.site ORDER BY f.place) = 1
+), v_at AS (
+  SELECT f.site, unnest(r.locs) AS url, list_append(f.place, unnest(range(len(r.locs)))::INT) AS place FROM v_first f JOIN v_read r ON r.url = f.url AND r.root = 'urlset'
+), v_url AS (SELECT site, url, place FROM v_at QUALIFY row_number() OVER (PARTITION BY site, url ORDER BY place) = 1),
+v_fail AS (
+  SELECT b.site, b.url FROM v_bad b WHERE (SELECT count(*) FROM v_url u WHERE u.site = b.site AND u.place < b.place) < 40
+)"""
+ORACLE["t16_sitemap_walk_capped"] = CAPPED + """
+SELECT site, row_number() OVER (PARTITION BY site ORDER BY place) - 1 AS pos, url FROM v_url WHERE site NOT IN (SELECT site FROM v_fail)
+QUALIFY row_number() OVER (PARTITION BY site ORDER BY place) <= 40"""
+ORACLE["t16_sitemap_walk_failures"] = CAPPED + " SELECT site, url AS failed_url, 'ServerError' AS failure_kind FROM v_fail"
 # Brand pages follow the key order, type pages the reverse; five pages are read at most and
 # page 2 of brand 7 is broken.
 CATEGORY = """

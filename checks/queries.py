@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -13,8 +14,9 @@ from pricetrail.operators import (
 )
 from pricetrail.operators.numbering import numbered
 from pricetrail.plans import chart, health, live, products as product_plans, runs as run_plans
-from pricetrail.session import cut
-from pricetrail.sources import config, documents, star_schema as star, tables
+from pricetrail.session import cut, ensure_checkpoint_dir
+from pricetrail.sources import buckets, config, documents, star_schema as star, tables
+from pricetrail.streaming import observations as stream_store, queue_status
 
 AS_OF = "2024-01-20 00:00:00"
 BATCH_START = "1996-01-01 00:00:00"
@@ -518,6 +520,73 @@ def _(spark, root):
     return _store(spark, root).products
 
 
+# --- streams, replayed ----------------------------------------------------------------
+
+
+def _replayed(spark, rows, order, parts=3, files=4):
+    """``rows`` as a stream that brings them in ``parts`` triggers by ``order``, and a folder for its results."""
+    folder = f"{ensure_checkpoint_dir(spark)}/replay/{uuid.uuid4().hex}"
+    share = [i / parts for i in range(1, parts)]
+    marks = rows.agg(F.percentile_approx(order, share, 1000).alias("m")).first()["m"] if share else []
+    part = sum(((F.col(order) > m).cast("int") for m in marks), F.lit(0))
+    placed = cut(rows.withColumn("_part", part))
+    for i in range(parts):
+        placed.where(F.col("_part") == i).drop("_part").repartition(files).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(placed.drop("_part").schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
+    return stream, folder
+
+
+def _ended(running):
+    running.awaitTermination()
+    if running.exception():
+        raise running.exception()
+
+
+def _written(spark, path, schema):
+    return spark.read.schema(schema).parquet(path)
+
+
+@query("st1_changes")
+def _(spark, root):
+    """Price changes per product on a stream; observations in capture order."""
+    shots = star.snapshots(spark, root).withColumn("seq", F.unix_date(F.to_date("captured_at")).cast("bigint") * 281474976710656 + F.col("id").bitwiseAND(281474976710655))
+    rows = shots.select("product_id", "seq", F.col("captured_at").alias("observed_at"), "price", "old_price", "promo_flag", "in_stock")
+    stream, folder = _replayed(spark, rows, "seq")
+    _ended(stream_store.write_changes(stream, f"{folder}/out", f"{folder}/check"))
+    kinds = "product_id bigint, seq bigint, observed_at timestamp, price decimal(18,2), old_price decimal(18,2), promo_flag boolean, in_stock boolean"
+    return _written(spark, f"{folder}/out", kinds)
+
+
+@query("s12_stream_products")
+def _(spark, root):
+    """The product table after the batch of t9_observation_store came as a stream into bucketed tables."""
+    arriving, small, held, _ = _arriving(spark, root)
+    stream, folder = _replayed(spark, arriving, "seq")
+    stream_store.start_tables(small, held, f"{folder}/db", 8)
+    _ended(stream_store.store_stream(stream, f"{folder}/db", f"{folder}/check"))
+    return buckets.read(spark, f"{folder}/db", "product").select("slug", "external_id", "name", "url", "pack_unit", "created_at", "updated_at")
+
+
+@query("st2_live_counts")
+def _(spark, root):
+    events = star.queue_events(spark, root).withColumn("micros", F.unix_micros(F.col("at").cast("timestamp")))
+    stream, folder = _replayed(spark, events, "micros")
+    _ended(queue_status.start_live_counts(stream, f"{folder}/db", f"{folder}/check"))
+    return queue_status.live_counts(spark, f"{folder}/db")
+
+
+@query("st2_lease_timeouts")
+def _(spark, root):
+    """Leases that ran out before the newest event; all events come in one trigger, so what counts is where they end."""
+    lease = F.when(F.col("transition") == "reserved", F.col("at") + F.make_interval(secs=F.floor("value").cast("bigint")))
+    events = star.table(spark, root, "events").select(
+        F.col("user_id").alias("run_id"), star.item_id().alias("item_id"), star.event_status().alias("transition"), F.col("ts").cast("timestamp").alias("at"), "event_id", "value"
+    ).withColumn("lease_until", lease.cast("timestamp")).withColumn("micros", F.unix_micros("at"))
+    stream, folder = _replayed(spark, events, "micros", parts=1)
+    _ended(queue_status.write_lease_timeouts(stream, f"{folder}/out", f"{folder}/check"))
+    return _written(spark, f"{folder}/out", "run_id bigint, item_id bigint, lease_until timestamp")
+
+
 @query("j7_match_existing")
 def _(spark, root):
     clean = observations.normalize_observations(star.observations(spark, root), as_of())
@@ -704,6 +773,21 @@ def _(spark, root):
     return discovery.walk_sitemaps(derived.sitemap_roots(spark, root), docs, 20_000)[0]
 
 
+def _capped(spark, root):
+    docs = documents.sitemap_documents(derived.capped_responses(spark, root))
+    return discovery.walk_sitemaps(derived.capped_roots(spark, root), docs, derived.MAX_CAPPED, derived.MAX_TOP)
+
+
+@query("t16_sitemap_walk_capped")
+def _(spark, root):
+    return _capped(spark, root)[0]
+
+
+@query("t16_sitemap_walk_failures")
+def _(spark, root):
+    return _capped(spark, root)[1].select("site", "failed_url", "failure_kind")
+
+
 def _walk(spark, root):
     docs = discovery.category_documents(derived.category_pages(spark, root), star.SHOP)
     return discovery.walk_categories(derived.category_seeds(spark, root), docs, derived.MAX_PAGES)
