@@ -425,6 +425,16 @@ ORACLE["j13_reserve"] = q(
   FROM v_queue q LEFT JOIN v_ready r ON r.id = q.id AND r.e < 6""",
     _ready,
 )
+ORACLE["o3_next_batch"] = q("SELECT id, run_id, url, status, attempt FROM v_ready WHERE e < 4", _ready)
+ORACLE["sql_reserve_batch"] = q(
+    "SELECT id, run_id, url, attempt, max_attempts, coalesce(idempotency_key, '') AS idempotency_key, 'worker-a' AS reserved_by FROM v_ready WHERE e < 6", _ready
+)
+ORACLE["sql_named_calls"] = """SELECT p_partkey AS id, left(trim(p_name), 5) AS short_name,
+  CASE WHEN p_partkey % 3 = 0 THEN '' ELSE left(CAST(p_partkey AS VARCHAR), 2) END AS short_slug,
+  CASE p_partkey % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'running' ELSE 'error' END AS run_status,
+  CASE p_partkey % 2 WHEN 0 THEN 'dead' ELSE 'pending' END AS queue_status,
+  (10000 + p_partkey + 10) // (2 * (p_partkey + 10)) * 0 + floor((2 * 10000 + p_partkey + 10) / (2 * (p_partkey + 10))) / 10.0 AS off,
+  CAST(CASE WHEN p_partkey > 0 THEN -50 END AS DOUBLE) AS change FROM part"""
 ORACLE["t3_5_transitions"] = q(
     """SELECT item AS id, user_id AS run_id,
   coalesce(first(st ORDER BY ts DESC, event_id DESC) FILTER (st IN ('succeeded', 'retry', 'dead')), 'pending') AS status,
@@ -625,6 +635,27 @@ ORACLE["t12_item_routing"] = q(
  UNION ALL SELECT 'failed', event_id, CASE WHEN event_type = 'signup' THEN 'extract/unknown/' ELSE 'fetch/' || code || '/' || message END FROM v_fail""",
     _fail,
 )
+# Even items first, then odd ones; a product is new with its first card in a batch.
+_crawl = _fail + """,
+v_seen AS (SELECT event_id, event_id % 97 AS g, event_id % 2 AS part, row_number() OVER (PARTITION BY event_id % 2 ORDER BY event_id) - 1 AS pos
+  FROM events WHERE event_type IN ('purchase', 'view')),
+v_even AS (SELECT g, 1 + min(pos) AS pid FROM v_seen WHERE part = 0 GROUP BY g),
+v_gone AS (SELECT g, coalesce((SELECT max(pid) FROM v_even), 0) + 1 + min(pos) AS pid FROM v_seen WHERE part = 1 AND g NOT IN (SELECT g FROM v_even) GROUP BY g),
+v_prod AS (SELECT * FROM v_even UNION ALL SELECT * FROM v_gone)"""
+ORACLE["run_crawl_errors"] = q(
+    """SELECT user_id AS run_id, event_id AS queue_id, pid AS product_id, 'https://shop.example/e/' || g AS url, 'unknown' AS error_code, NULL::INT AS http_status, 'm' || event_id AS error_message
+  FROM events JOIN v_seen USING (event_id) JOIN v_prod USING (g) WHERE event_type = 'view'
+ UNION ALL SELECT user_id, event_id, NULL, 'https://shop.example/q/' || event_id, code, http, nullif(message, '') FROM v_route WHERE NOT again""",
+    _crawl,
+)
+ORACLE["run_crawl"] = q(
+    f"""SELECT run_id, 'sitemap' AS source, ok AS products_processed, dead AS errors,
+  'queued=' || n || ', enqueued=' || n || ', succeeded=' || ok || ', dead=' || dead || ', pending=0, retry=' || again AS note,
+  CASE WHEN again > 0 THEN 'running' WHEN dead > 0 THEN 'error' ELSE 'ok' END AS status, CASE WHEN again = 0 THEN {AS_OF} END AS finished_at
+  FROM (SELECT e.user_id AS run_id, count(*) AS n, count(*) FILTER (e.event_type IN ('purchase', 'view')) AS ok,
+    count(*) FILTER (NOT r.again) AS dead, count(*) FILTER (r.again) AS again FROM events e LEFT JOIN v_route r USING (event_id) GROUP BY e.user_id)""",
+    _fail,
+)
 ORACLE["t10_finish_runs"] = """SELECT o_orderkey AS id, o_orderdate AS started_at,
  CASE WHEN o_orderstatus <> 'P' THEN o_orderdate + INTERVAL 7 MINUTE END AS finished_at,
  CASE o_orderstatus WHEN 'P' THEN 'running' WHEN 'F' THEN 'ok' ELSE 'error' END AS status, o_orderpriority AS source,

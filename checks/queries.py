@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from checks import derived
-from pricetrail.functions import display, fetch, pricing, status, text, urls
+from pricetrail import schemas
+from pricetrail.functions import display, fetch, pricing, sql, status, text, urls
 from pricetrail.operators import (
-    breaker, discovery, extract, grid, history, identity, legacy, observations, queue, routing,
+    breaker, crawl, discovery, extract, grid, history, identity, legacy, observations, queue, routing,
 )
 from pricetrail.operators.numbering import numbered
 from pricetrail.plans import chart, health, live, products as product_plans, runs as run_plans
@@ -371,6 +372,40 @@ def _(spark, root):
     return queue.plan_batches(star.queue(spark, root), as_of(), 6, 90, " worker-a ", hot_rows=5)
 
 
+@query("o3_next_batch")
+def _(spark, root):
+    return queue.next_batches(star.queue(spark, root), as_of(), 4).select("id", "run_id", "url", "status", "attempt")
+
+
+@query("sql_reserve_batch")
+def _(spark, root):
+    """The table function called from SQL, its arguments by name."""
+    sql.register_sql_functions(spark)
+    star.queue(spark, root).createOrReplaceTempView("price_collect_queue")
+    return spark.sql(
+        f"""SELECT id, run_id, url, attempt, max_attempts, idempotency_key, reserved_by FROM queue_reserve_batch(
+          worker_id => ' worker-a ', batch_size => 6, as_of => timestamp_ntz '{AS_OF}', queue => TABLE(
+            SELECT id, run_id, url, attempt, max_attempts, idempotency_key, status, next_attempt_at, created_at
+            FROM price_collect_queue))"""
+    )
+
+
+@query("sql_named_calls")
+def _(spark, root):
+    """Scalar routines from SQL, their arguments by name and in any order."""
+    sql.register_sql_functions(spark)
+    star.products(spark, root).createOrReplaceTempView("product")
+    return spark.sql(
+        """SELECT id, trim_nullable(max_length => 5, value => concat('  ', name)) AS short_name,
+          trim_required(value => CASE WHEN id % 3 = 0 THEN '  ' ELSE slug END, max_length => 2) AS short_slug,
+          run_status(status => CASE id % 3 WHEN 0 THEN ' OK ' WHEN 1 THEN 'running' ELSE 'odd' END) AS run_status,
+          queue_status(status => CASE id % 2 WHEN 0 THEN 'Dead' ELSE 'x' END) AS queue_status,
+          CAST(discount_percent(old_price => CAST(id + 10 AS DECIMAL(18,2)), price => CAST(id AS DECIMAL(18,2))) AS DOUBLE) AS off,
+          CAST(price_change_percent(target => CAST(id AS DECIMAL(18,2)), base => CAST(id * 2 AS DECIMAL(18,2))) AS DOUBLE) AS change
+        FROM product"""
+    )
+
+
 @query("j13_reserve")
 def _(spark, root):
     rows = star.queue(spark, root)
@@ -668,6 +703,42 @@ def _(spark, root):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
+def _crawled(spark, root):
+    """Events as the items of one crawl, processed in two batches; what is left and how the runs end."""
+    results = _processed(spark, root)
+    none = {n: F.lit(None).cast(t) for n, t in (
+        ("next_attempt_at", "timestamp_ntz"), ("reserved_at", "timestamp_ntz"), ("lease_until", "timestamp_ntz"), ("reserved_by", "string"),
+        ("last_error_code", "string"), ("last_http_status", "int"), ("last_error_message", "string"), ("finished_at", "timestamp_ntz"),
+    )}
+    items = results.select(
+        F.col("queue_id").alias("id"), "run_id", "url", F.lit("reserved").alias("status"), "attempt", "max_attempts",
+        F.lit("").alias("idempotency_key"), as_of().alias("created_at"), as_of().alias("updated_at"), *[c.alias(n) for n, c in none.items()],
+    )
+    state = crawl.CrawlTables(
+        items, *(spark.createDataFrame([], kind) for kind in (schemas.PRODUCT, schemas.PRICE_SNAPSHOT)),
+        spark.createDataFrame([], schemas.CRAWL_ERROR),
+    )
+    for part in (0, 1):
+        state = crawl.process_results(state, results.where(F.col("queue_id") % 2 == part), as_of(), 500, 5000)
+    return state, results
+
+
+@query("run_crawl")
+def _(spark, root):
+    state, results = _crawled(spark, root)
+    plans = results.groupBy("run_id").agg(F.lit("Sitemap").alias("discovery_kind"), F.count("*").alias("queued"), F.count("*").alias("enqueued"))
+    runs = routing.start_runs(results.groupBy("run_id").agg(as_of().alias("at")).withColumn("source", F.lit("sitemap")))
+    outcomes, ended = crawl.finish_crawls(state, runs, plans, as_of())
+    return outcomes.select("run_id", "source", "products_processed", "errors", "note").join(
+        ended.select(F.col("id").alias("run_id"), "status", "finished_at"), "run_id"
+    )
+
+
+@query("run_crawl_errors")
+def _(spark, root):
+    return _crawled(spark, root)[0].errors.select("run_id", "queue_id", "product_id", "url", "error_code", "http_status", "error_message")
+
+
 @query("t10_finish_runs")
 def _(spark, root):
     orders = star.table(spark, root, "orders")

@@ -94,10 +94,16 @@ def plan_batches(
     )
 
 
+def next_batches(queue: DataFrame, as_of: Column, batch_size: int) -> DataFrame:
+    """O3: the first batch of every run; rows behind it are dropped before the shuffle."""
+    first = Window.partitionBy("run_id").orderBy(due_at(as_of), "id")
+    ranked = ready(queue, as_of).withColumn("_n", F.row_number().over(first))
+    return ranked.where(F.col("_n") <= max(batch_size or 0, 1)).drop("_n")
+
+
 def next_batch(queue: DataFrame, run_id: int, as_of: Column, batch_size: int) -> DataFrame:
-    """O3: the first batch of one run."""
-    rows = ready(queue.where(F.col("run_id") == run_id), as_of)
-    return rows.orderBy(due_at(as_of), "id").limit(max(batch_size or 0, 1))
+    """O3 for one run."""
+    return next_batches(queue.where(F.col("run_id") == run_id), as_of, batch_size).orderBy(due_at(as_of), "id")
 
 
 def reserve(queue: DataFrame, batch: DataFrame) -> DataFrame:
