@@ -157,7 +157,8 @@ def nearest(
     Reads ``vec_id, embedding``; other columns are not read. Vectors that are null, zero, of an unusual
     length or hold null or non-finite components take no part, nor do rows without an id. Ties go to
     the smaller vec_id; with fewer candidates all are returned; equal vectors have equal scores; rows
-    that repeat an id and its vector are one; an empty table gives no rows.
+    that repeat an id and its vector are one; an empty table gives no rows. A vector of any length is one
+    value of one row.
     """
     rows = usable(vectors)
     # One class for each vector. Beyond k + 1 rows of a class, those with larger ids are never among the nearest.

@@ -208,7 +208,8 @@ def score_documents(docs: DataFrame, learned: Column, path: str, rounds: int = R
 
     Scores are log10. ``learned`` marks the rows to learn from. Reads ``doc_id, text``; other columns
     are not read. A null or blank text has the end as its one token; repeated rows stay repeated, and
-    count as often in training; an empty table gives no rows. Without training rows the weights stay
+    count as often in training; an empty table gives no rows. A text of any length is read whole, by one
+    task; a very long word is a lattice of its own, with a step for each of its characters. Without training rows the weights stay
     those of the vocabulary's order.
     """
     spark = docs.sparkSession

@@ -194,7 +194,7 @@ def mix_plan(docs: DataFrame, **how) -> DataFrame:
 
     Reads ``doc_id, text, source``; other columns are not read. A null or blank text has size zero
     and takes no words; a null source is a source of its own, the last; equal rows share their
-    copies as evenly as can be; an empty table gives no rows.
+    copies as evenly as can be; an empty table gives no rows. A text of any length only counts its words.
     """
     counts = mix_counts(docs.select("source", "doc_id", word_count("text").alias("size")), **how)
     return _each_row(counts).select(

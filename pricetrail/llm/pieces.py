@@ -417,7 +417,8 @@ def encoded_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_
 
     ``round_trip`` says whether decoding the pieces gives the text again (a piece's space sign in a
     text reads as a space). Reads ``text`` and ``keep`` only. A null text has a null list, no pieces
-    and a true round trip; an empty one an empty list; repeated rows stay repeated; an empty table
+    and a true round trip; an empty one an empty list; a text of any length is read whole, and one longer than a step is a step of
+    its own; repeated rows stay repeated; an empty table
     gives no rows.
     """
 

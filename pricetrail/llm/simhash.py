@@ -263,7 +263,8 @@ def near_duplicate_groups(docs: DataFrame, bits: int = BITS, shingle: int = SHIN
     ``component_id`` is the smallest doc_id that links reach, itself included. Documents with one
     fingerprint are one node, whatever their number. Null and blank texts have fingerprint zero and
     are linked like any other; repeated rows stay repeated; a null doc_id belongs to its group but
-    names it only if the group has no other; an empty table gives no rows; other columns are not read.
+    names it only if the group has no other; an empty table gives no rows; other columns are not read. A
+    text of any length is read whole, by one task.
     """
     prints = cut(with_fingerprints(docs, shingle))
     fps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))

@@ -130,7 +130,7 @@ def scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, size: int, seed: int = SEED) -> DataFrame:
-    """``text, label`` of labelled rows chosen by a hash of the id: ``size`` rows on average, or all.
+    """``text, label`` of labelled ids chosen by a hash: ``size`` on average, or all, one text for each.
 
     ``learn`` says which rows of ``labels`` may be learned from. The chosen ids are counted, few and
     fixed in number, so they are broadcast to the documents.
@@ -138,7 +138,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     usable = labels.where(learn & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label"))
     share = min(1.0, size / max(usable.count(), 1))
     chosen = usable.where(unit("doc_id", seed=seed) < share).select(F.col("doc_id").alias("_id"), "label")
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "label")
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    # An id used for many rows is one example: combined before the shuffle.
+    return met.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("label").alias("label")).select("text", "label")
 
 
 def fitted(sample: DataFrame) -> Model:
@@ -161,7 +163,7 @@ def quality_scores(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_
 
     Reads ``text`` and ``keep`` only. A null or blank text scores the share of label 1 in the sample;
     equal texts score alike; an empty table gives no rows, and without labelled rows every score is
-    about one half.
+    about one half. A text of any length is read whole, by one task.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -155,7 +155,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, chunk: int = CH
     """``doc_id, n_bytes, n_tokens, over_limit`` of every row of ``docs``.
 
     Reads ``doc_id, text``; other columns are not read. A null text counts as empty; repeated rows
-    stay repeated; an empty table gives no rows.
+    stay repeated; an empty table gives no rows. A text of any length is read whole, in chunks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -231,7 +231,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, learn: Column, label: st
     ``learn`` says which rows of ``labels`` may be learned from. Reads ``doc_id, text`` of the documents
     and ``doc_id`` and the label of the labels. A text without chosen terms, null and blank ones too,
     scores the rate among such examples; equal texts score alike but for examples, which never vote
-    for themselves; repeated rows stay repeated; an empty table gives no rows, and without labelled
+    for themselves; a text of any length is read whole, by one task; repeated rows stay repeated; an empty
+    table gives no rows, and without labelled
     rows every score is one half.
     """
     spark = docs.sparkSession

@@ -77,7 +77,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> D
     The longest rule wins; of equally long ones that with the longer host; of a rule given twice, the
     verdict that sorts last. Reads ``page_id, url``; other columns are not read. A null url, or one
     without ``://``, has an empty host and path and fits no rule of a host; repeated rows stay
-    repeated; an empty table gives no rows, and without rules all have the default verdict.
+    repeated; an url of any length is one value; an empty table gives no rows, and without rules all have the default verdict.
     """
     urls = pages.select("page_id", F.col("url").alias("u")).select("page_id", host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path"))
     of_rules = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict")).select(

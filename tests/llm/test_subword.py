@@ -1,6 +1,8 @@
+import math
 import zlib
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from pricetrail.llm import queries, subword
@@ -43,3 +45,42 @@ def test_odd_rows(spark, labelled):
     else:
         assert set(got.values()) == {0.5}
     assert subword.quality_scores(docs.where(F.lit(False)), model).collect() == []
+
+
+def plain_score(model, text):
+    """The score feature by feature: words and their n-grams with marked ends, repeats of the word before, the text itself."""
+    words = text.encode().split()
+    if not words:
+        return model.prior
+    logits = [float(model.logit[subword._TEXT])]
+    for i, word in enumerate(words):
+        marked = b"<" + word + b">"
+        logits.append(float(model.logit[2 + xxhash.xxh64_intdigest(marked, subword.SEED) % (subword.BUCKETS - 2)]))
+        for size in subword.NGRAMS:
+            for at in range(len(marked) - size + 1):
+                h = 2166136261 + size
+                for byte in marked[at : at + size]:
+                    h = (h ^ byte) * 16777619 % 2**32
+                h ^= h >> 15
+                logits.append(float(model.logit[2 + h % (subword.BUCKETS - 2)]))
+        if i and words[i - 1] == word:
+            logits.append(float(model.logit[subword._AGAIN]))
+    return 1 / (1 + math.exp(-sum(logits) / len(logits)))
+
+
+def test_scores_against_brute_force(spark):
+    """Every whole text of the table, with the model that the query learns."""
+    root = "/root/testdata/sf0.001"
+    model = queries.quality_model(spark, root)
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{root}/documents.parquet").collect()}
+    got = {r["doc_id"]: r["score"] for r in queries.op4_quality_scores(spark, root).collect()}
+    assert got.keys() == texts.keys()
+    for d, text in texts.items():
+        assert math.isclose(got[d], plain_score(model, text), rel_tol=1e-6, abs_tol=1e-9), d
+
+
+def test_one_example_for_each_labelled_id(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, "c")] * 5, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    got = subword.labelled_sample(docs, labels, "quality", F.lit(True), 10).collect()
+    assert sorted(map(tuple, got)) == [("", 1), ("c", 0)]
