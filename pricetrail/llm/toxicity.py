@@ -20,6 +20,8 @@ from pricetrail.llm.arrays import flat, lowered, ragged, steps, words_of, xxh64
 from pricetrail.llm.frames import text_batches, unit
 from pricetrail.session import cut
 
+#: Documents that one task searches for.
+TASK_ROWS = 5_000
 #: Labelled rows used as examples at most, on average over the sample's hash; all, if there are fewer.
 SAMPLE = 12_000
 #: Terms at most, the fewest examples a term is in, and the least chi-square of term and label.
@@ -280,4 +282,6 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, learn: Column, label: st
                 ["doc_id", "score", "neighbours", "evidence"],
             )
 
-    return rows.select("doc_id", "terms", "freq").mapInArrow(run, "doc_id long, score double, neighbours int, evidence array<long>")
+    # Rows of terms are small and searches are not: tasks follow the number of rows, not their bytes.
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // TASK_ROWS))
+    return rows.select("doc_id", "terms", "freq").repartition(tasks).mapInArrow(run, "doc_id long, score double, neighbours int, evidence array<long>")
