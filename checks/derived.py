@@ -205,6 +205,30 @@ def category_pages(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def pager_pages(spark: SparkSession, root: str) -> DataFrame:
+    """A page for each of the given pages that marks its next page in one of ten ways, or not at all."""
+    key = F.col("page_id").cast("string")
+    way = F.col("page_id") % 11
+    href = F.concat(F.lit(' href="?after='), key, F.lit('&amp;way='), way.cast("string"), F.lit('"'))
+
+    def around(before: str, after: str) -> Column:
+        return F.concat(F.lit(before), href, F.lit(after))
+
+    marks = [
+        around('<a rel="NEXT"', ">more</a>"), around('<a class="big next"', ">more</a>"),
+        around('<div class="next"><p><em><a', ">more</a></em></div>"), around('<span class="pagination-next"', ">more</span>"),
+        around('<li class="x pagination-next"><b><a', ">more</a></b></li>"), around('<button aria-label="Go to NEXT page"', ">more</button>"),
+        around("<a", "> &gt; </a>"), around("<a", "><b>\u203a</b></a>"), around("<a", "><i></i>\n&raquo;</a>"), around("<a", ">the <u>Ne</u>xt one</a>"),
+    ]
+    mark = F.lit("")
+    for number, html in enumerate(marks):
+        mark = F.when(way == number, html).otherwise(mark)
+    return star.pages(spark, root).select(
+        "page_id", F.concat(F.lit('<!DOCTYPE html><body><!-- <a rel="next" href="/hidden"> --><div class="nextdoor"><a href="/a">before</a></div><ul><li class="prev"><a href="/b">1</a>'
+                                  '<li>'), mark, F.lit('</ul><p class="next">end<p><a href="/c">after</a>')).alias("html"),
+    )
+
+
 def category_seeds(spark: SparkSession, root: str) -> DataFrame:
     """Brands first, then types, numbered inside one crawl."""
     parts = star.table(spark, root, "part")

@@ -833,6 +833,8 @@ ORACLE["f12_page_anchors"] = r"""WITH a AS (
  SELECT page_id, regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>', '', 'g'), '(?is)<a\b[^>]*?\bhref="([^"]*)"', 1) AS hrefs FROM pages),
 h AS (SELECT page_id, unnest(range(len(hrefs))) AS pos, unnest(hrefs) AS raw FROM a)
 SELECT page_id, CAST(pos AS INT) AS pos, replace(raw, '&amp;', '&') AS href, 'https://shop.example/' || replace(url_encode(substr(replace(raw, '&amp;', '&'), 2)), '%2C', ',') AS resolved FROM h"""
+# The marked link is the only one of a page; a page without a mark has none.
+ORACLE["f13_next_links"] = """SELECT page_id, 0 AS pos, '?after=' || page_id || '&way=' || (page_id % 11) AS href FROM pages WHERE page_id % 11 < 10"""
 ORACLE["t21_breaker_report"] = q(
     """SELECT host, count(*) AS requests,
   CASE WHEN max(ts) > min(ts) THEN round(CAST(count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0) AS DECIMAL(28, 10)), 2)::DOUBLE ELSE 0.0 END AS approximate_rps,

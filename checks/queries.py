@@ -958,6 +958,15 @@ def _(spark, root):
     ).select("page_id", "pos", "href", urls.resolve(F.col("href"), F.lit("https://shop.example/x/y")).alias("resolved"))
 
 
+@query("f13_next_links")
+def _(spark, root):
+    """Links to the next page: six selectors, else the four texts; what the page marks in the way it does."""
+    from pricetrail.operators.anchors import anchors, next_hrefs
+
+    found = derived.pager_pages(spark, root).withColumn("a", anchors(F.col("html")))
+    return found.select("page_id", F.posexplode(next_hrefs(F.col("a"))).alias("pos", "href"))
+
+
 # --- reports and legacy -------------------------------------------------------------
 
 
