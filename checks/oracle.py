@@ -677,12 +677,18 @@ ORACLE["t13_run_outcome"] = q(
 # Candidate sitemaps per host, by the smallest page id of the host.
 SITES = """
 v_site AS (SELECT site, min(page_id) AS m, 'https://' || site AS h FROM v_host GROUP BY site),
+v_answer AS (
+  SELECT site, m, h || name AS url, status, kind_of, body FROM v_site, (VALUES
+    ('/sitemap-index.xml', 'text/xml'), ('/a.xml', 'text/plain'), ('/b.xml', 'text/xml'), ('/sitemap.xml', 'text/xml')) AS n(name, kind_of),
+    LATERAL (SELECT CASE name WHEN '/sitemap-index.xml' THEN CASE WHEN m % 3 = 0 THEN 404 ELSE 200 END WHEN '/a.xml' THEN CASE WHEN m % 2 = 0 THEN 429 ELSE 200 END
+        WHEN '/sitemap.xml' THEN CASE WHEN m % 7 = 0 THEN 200 ELSE 500 END ELSE 200 END AS status,
+      CASE WHEN name = '/sitemap-index.xml' AND m % 3 = 1 THEN '<!DOCTYPE html><title>404 Not Found</title>' WHEN name = '/b.xml' AND m % 5 <> 0 THEN '<urlset><url>'
+        ELSE '<urlset><url><loc>https://x.example/1</loc></url></urlset>' END AS body)),
 v_resp AS (
-  SELECT site, m, h || '/sitemap-index.xml' AS url,
-    CASE WHEN m % 3 = 0 THEN 'NotFound' WHEN m % 3 = 1 THEN 'HtmlInsteadOfXml' END AS kind FROM v_site
-  UNION ALL SELECT site, m, h || '/a.xml', CASE WHEN m % 2 = 0 THEN 'RateLimited' ELSE 'InvalidContentType' END FROM v_site
-  UNION ALL SELECT site, m, h || '/b.xml', CASE WHEN m % 5 <> 0 THEN 'InvalidXml' END FROM v_site
-  UNION ALL SELECT site, m, h || '/sitemap.xml', CASE WHEN m % 7 <> 0 THEN 'ServerError' END FROM v_site),
+  SELECT site, m, url, CASE WHEN status = 404 THEN 'NotFound' WHEN status = 429 THEN 'RateLimited' WHEN status >= 500 THEN 'ServerError'
+    WHEN regexp_matches(body, '(?i)^\\s*<(!doctype\\s+)?html') THEN 'HtmlInsteadOfXml' WHEN NOT contains(kind_of, 'xml') THEN 'InvalidContentType'
+    WHEN NOT regexp_matches(body, '^\\s*<(urlset|sitemapindex)\\b.*</(urlset|sitemapindex)>\\s*$') THEN 'InvalidXml' END AS kind,
+    regexp_extract(body, '<(urlset|sitemapindex)', 1) AS root, len(regexp_extract_all(body, '<loc>')) AS n FROM v_answer),
 v_cand AS (
   SELECT site, m, 0 AS pos, h || '/sitemap-index.xml' AS url FROM v_site
   UNION ALL SELECT site, m, 1, h || '/a.xml' FROM v_site WHERE m % 11 <> 0
@@ -710,12 +716,18 @@ ORACLE["t14_discovery_failures"] = q(
     SITES,
 )
 ORACLE["s4_sitemap_kinds"] = q(
-    """SELECT url, kind AS failure_kind, CASE WHEN kind IS NULL THEN 'urlset' END AS root, CASE WHEN kind IS NULL THEN 1 END AS locs FROM v_resp""",
+    """SELECT url, kind AS failure_kind, CASE WHEN kind IS NULL THEN root END AS root, CAST(CASE WHEN kind IS NULL THEN n END AS INT) AS locs FROM v_resp""",
     SITES,
 )
 ORACLE["s5_sitemap_locs"] = "SELECT url AS loc FROM pages WHERE NOT contains(lower(url), '/fr/') AND NOT contains(lower(url), '#top')"
 ORACLE["s6_robots"] = q(
-    """SELECT h || '/robots.txt' AS url, unnest([0, 1, 2]) AS pos, unnest([h || '/a.xml', h || '/b.xml', h || '/SITEMAP-index.xml']) AS sitemap FROM v_site""",
+    """SELECT url, CAST(row_number() OVER (PARTITION BY url ORDER BY k) - 1 AS INT) AS pos, sitemap FROM (
+  SELECT url, k, trim(substr(line, strpos(line, ':') + 1)) AS sitemap FROM (
+    SELECT url, k, trim(regexp_replace(line, '#.*$', '')) AS line FROM (
+      SELECT url, unnest(lines) AS line, generate_subscripts(lines, 1) AS k FROM (
+        SELECT h || '/robots.txt' AS url, string_split_regex('User-agent: *' || chr(13) || chr(10) || 'Disallow: /x # Sitemap: no' || chr(13) || chr(10) || 'Sitemap: ' || h ||
+          '/a.xml # main' || chr(10) || '  sitemap:' || h || '/b.xml' || chr(10) || 'SITEMAP: ' || h || '/SITEMAP-index.xml' || chr(10) || 'Sitemap:' || chr(10), '\\r?\\n') AS lines FROM v_site)))
+  WHERE starts_with(lower(line), 'sitemap:')) WHERE sitemap <> ''""",
     SITES,
 )
 ORACLE["t16_sitemap_walk"] = q(
