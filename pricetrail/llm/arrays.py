@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 T = TypeVar("T")
 
 #: Bytes of text that one numpy step handles; a longer single text is a step of its own.
-STEP_BYTES = 3_000_000
+STEP_BYTES = 2_000_000
 
 #: White space between words: space and the bytes 0x09 to 0x0D.
 _SPACE = np.zeros(256, dtype=bool)
