@@ -26,9 +26,9 @@ from pricetrail.session import cut
 
 WINDOW = 50
 #: Bytes of text of one chunk; a longer text is a chunk of its own.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 2_500_000
 #: Characters of text for each bucket: a bucket's hashes are held by one task.
-BUCKET_CHARS = 24_000_000
+BUCKET_CHARS = 10_000_000
 #: Stands for a null doc_id, which no document is smaller than.
 _LAST = 2**63 - 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
