@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricetrail.operators.components import connected_components
-from pricetrail.operators.ordered import Ordered
+from pricetrail.operators.ordered import FEW_SEGMENTS, Ordered, segment_count
 
 
 @pytest.mark.parametrize("inclusive", [False, True])
@@ -30,6 +30,20 @@ def test_split_keys_give_the_plain_answer(spark, inclusive):
     assert run(90) == expected
 
 
+def test_a_low_limit_does_not_make_a_task_of_a_few_rows(spark):
+    """The tasks follow the rows, and keys that lie in several segments get the plain answer."""
+    df = spark.createDataFrame([(i % 90 if i % 3 else None, i, i % 7 or None) for i in range(3000)], "k int, id int, v int")
+
+    def run(limit):
+        o = Ordered(df, ["k"], ["id"], hot_rows=limit)
+        out = o.running(last={"prev": F.col("v")}, total={"n": F.lit(1)}).whole({"all_n": F.count("*")})
+        return o.segments, sorted(map(str, out.result.collect()))
+
+    segments, rows = run(5)
+    assert 2 <= segments <= FEW_SEGMENTS and rows == run(10_000)[1]
+    assert segment_count(36_000_000, 40) <= 72 and segment_count(36_000_000, 5_000_000) == 16
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(f"n{i}", f"n{i + 1}") for i in range(40) if i % 10 != 9]
