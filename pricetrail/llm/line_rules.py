@@ -23,7 +23,7 @@ MAX_REPEATED = 20
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 #: A line is removed if more distinct documents of its host have it, however large the host is.
-LINE_DOCS = 100
+LINE_DOCS = 10
 #: A document is rejected if less than this share of its words, or fewer than ``MIN_WORDS``, is left.
 MIN_LEFT = 0.3
 

@@ -91,3 +91,11 @@ def test_limit_is_the_same_in_a_host_of_any_size(spark):
         frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
         got = {r["doc_id"]: r["n_left"] for r in line_rules.judged(frame, 10).collect()}
         assert got[3] == got[35] + 4 and got[20] == got[35]
+
+
+def test_default_limit_removes_lines_of_eleven_documents(spark):
+    """Ten documents may share a line, eleven may not: the limit that the rules began with."""
+    for sharers, stays in ((10, True), (11, False)):
+        rows = [(i, f"own words of document {i} which are many enough to stay here\n" + ("a line that some share" if i < sharers else ""), "h") for i in range(300)]
+        got = {r["doc_id"]: r["n_left"] for r in line_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+        assert got[0] == got[299] + 5 * stays
