@@ -5,7 +5,8 @@ linked. Texts with one set of shingles are one node. Nodes that agree in all val
 bucket; in a bucket all pairs are compared by short signatures, and a small bucket hands on every pair
 that may be similar enough, a larger one a forest of the most similar pairs. Buckets above ``PAIRWISE``
 members are dealt out anew for each band. Then, round by round until no new link appears, the members of
-larger buckets are compared with the bucket's best-linked ones, unless links connect them already.
+larger buckets are compared with the bucket's best-linked ones, unless links connect them already. What
+neither forest nor hub proposed comes last: every pair of a bucket's members that no links connect.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ DIFFERENT = 36
 #: Members of a bucket up to which every pair is handed on, and those compared with each other.
 ALL_PAIRS = 16
 PAIRWISE = 512
+#: The side of members that are compared with all of their own part.
+ONE_PART = 2
 #: Best-linked members of a bucket that all others are compared with in one round.
 HUBS = 1
 
@@ -169,13 +172,48 @@ def candidates_in(n: np.ndarray, signature: np.ndarray) -> tuple[np.ndarray, np.
     return x[taken], y[taken]
 
 
-def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``key, node, n, signature`` come sorted by key; a bucket may span batches."""
+def rest_in(side: np.ndarray, n: np.ndarray, component: np.ndarray, signature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of different components that may be similar enough; members of one side meet only if it is ``ONE_PART``."""
+    num, den = SIMILAR
+    x, y = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for a in range(len(n) - 1 if (component != component[0]).any() else 0):
+        other = slice(a + 1, len(n))
+        meets = (component[other] != component[a]) & ((side[other] != side[a]) | (side[a] == ONE_PART))
+        near = a + 1 + np.flatnonzero(meets & (den * np.minimum(n[a], n[other]) >= num * np.maximum(n[a], n[other])))
+        near = near[(signature[near] != signature[a]).sum(axis=1) <= DIFFERENT]
+        x.append(np.full(len(near), a))
+        y.append(near)
+    return np.concatenate(x), np.concatenate(y)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns of rows that come sorted by the first, the last a signature; a group may span batches."""
+    held: tuple[np.ndarray, ...] = ()
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = batch.num_columns - 1
+        flat = np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, BANDS * ROWS)
+        new = (*(batch.column(i).to_numpy() for i in range(k)), flat)
+        held = tuple(np.concatenate(x) for x in zip(held, new)) if held else new
+        last = int(np.searchsorted(held[0], held[0][-1]))
+        if last:
+            yield tuple(x[:last] for x in held)
+            held = tuple(x[last:] for x in held)
+    if held:
+        yield held
+
+
+def _bounds(keys: np.ndarray) -> list[tuple[int, int]]:
+    cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))).tolist()
+    return list(zip(cuts[:-1], cuts[1:]))
 
-    def out(keys: np.ndarray, nodes: np.ndarray, n: np.ndarray, signature: np.ndarray) -> Iterator[pa.RecordBatch]:
-        cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
+
+def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``key, node, n, signature`` come sorted by key."""
+    for keys, nodes, n, signature in _whole_groups(batches):
         a, b = [], []
-        for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        for start, end in _bounds(keys):
             for at in range(start, end, 2 * PAIRWISE) if end - start > 1 else ():  # dealt out, a bucket can be a little larger
                 mine = slice(at, min(at + 2 * PAIRWISE, end))
                 x, y = candidates_in(n[mine], signature[mine])
@@ -184,19 +222,15 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    held: tuple[np.ndarray, ...] = ()
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        flat = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8).reshape(-1, BANDS * ROWS)
-        new = (*(batch.column(i).to_numpy() for i in range(3)), flat)
-        held = tuple(np.concatenate(x) for x in zip(held, new)) if held else new
-        last = int(np.searchsorted(held[0], held[0][-1]))
-        if last:
-            yield from out(*(x[:last] for x in held))
-            held = tuple(x[last:] for x in held)
-    if held:
-        yield from out(*held)
+
+def _rest_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``key, side, node, n, component, signature`` come sorted by key."""
+    for keys, side, nodes, n, component, signature in _whole_groups(batches):
+        for start, end in _bounds(keys):
+            mine = slice(start, end)
+            x, y = rest_in(side[mine], n[mine], component[mine], signature[mine])
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[mine][x]), pa.array(nodes[mine][y])], ["a", "b"])
 
 
 def _hub_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +283,8 @@ def linked_nodes(docs: DataFrame, prints: DataFrame, pairwise: int = PAIRWISE, h
     )
     near = dealt.select("key", "node", "n", "signature").repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_pairs, "a long, b long")
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = _verified(docs, prints, cut(ordered(near.union(_by_golay(nodes)))))
+    tried = cut(ordered(near.union(_by_golay(nodes))))
+    links = _verified(docs, prints, tried)
     found = connected_components(links)
     if crowded.isEmpty():
         return found
@@ -265,15 +300,32 @@ def linked_nodes(docs: DataFrame, prints: DataFrame, pairwise: int = PAIRWISE, h
         ranked = members.join(degree, "node").withColumn("k", place).where(F.col("k") <= (turn + 1) * hubs).where(F.col("k") > turn * hubs)
         hub = cut(ranked.select("key", *(F.col(c).alias(d) for c, d in (("node", "b"), ("n", "m"), ("signature", "t"), ("component", "cb")))))
         if hub.isEmpty():
-            return labels
+            break
         near = (
             members.join(small_or_not(hub, 200), "key").where("component <> cb")
             .select(F.col("node").alias("a"), "n", F.col("signature").alias("s"), "b", "m", "t").dropDuplicates(["a", "b"])
         )
-        more = _verified(docs, prints, cut(ordered(near.mapInArrow(_hub_pairs, "a long, b long"))))
+        met = cut(ordered(near.mapInArrow(_hub_pairs, "a long, b long")))
+        more, tried = _verified(docs, prints, met), tried.union(met)
         if more.isEmpty():
-            return labels
+            break
         labels, members = cut(_joined(labels, more)), members.drop("component")
+    rest = ordered(_parts_met(members, pairwise).mapInArrow(_rest_pairs, "a long, b long"))
+    rest = cut(rest.join(tried, ["a", "b"], "left_anti"))
+    if rest.isEmpty():
+        return labels
+    more = _verified(docs, prints, rest)
+    return labels if more.isEmpty() else cut(_joined(labels, more))
+
+
+def _parts_met(members: DataFrame, pairwise: int) -> DataFrame:
+    """``members`` in parts of about ``pairwise``, once for each part that theirs meets: ``key`` names two parts of a bucket or one."""
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / pairwise).alias("parts"))
+    own = F.pmod(F.xxhash64("node", F.lit(SEED)), F.col("parts"))
+    placed = members.join(sizes, "key").withColumn("own", own).withColumn("met", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    side = F.when(F.col("own") == F.col("met"), ONE_PART).otherwise((F.col("own") > F.col("met")).cast("int")).cast("long")
+    key = F.xxhash64("key", F.least("own", "met"), F.greatest("own", "met"))
+    return placed.select(key.alias("key"), side.alias("side"), "node", "n", "component", "signature").repartition("key").sortWithinPartitions("key")
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:

@@ -90,6 +90,34 @@ def test_large_star_keeps_its_links(spark, pairwise):
     assert groups.where("component_id = 0").count() >= 0.99 * like > 400
 
 
+def twins(rnd, pairs):
+    """Texts that are similar enough to one other only, and almost so to all the rest, with which they share buckets."""
+    base = [f"w{i}" for i in range(2000)]
+    rows = []
+    for i in range(pairs):
+        places = rnd.sample(range(5, 1995, 10), 50)
+        for twin, mine in (("a", places[8:29]), ("b", places[29:])):
+            own = list(base)
+            for at in places[:8]:
+                own[at] = f"both{i}at{at}"
+            for at in mine:
+                own[at] = f"own{i}{twin}at{at}"
+            rows.append((len(rows), " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize("pairwise", [near_copies.PAIRWISE, 24])
+def test_no_link_is_lost_where_all_members_of_a_bucket_are_almost_similar(spark, pairwise):
+    rows = twins(random.Random(3), 40)
+    groups = components(rows)
+    assert len(set(groups)) > 30
+    low = {}
+    for c, (d, _) in zip(groups, rows):
+        low[c] = min(low.get(c, d), d)
+    got = near_copies.near_copy_groups(spark.createDataFrame(rows, "doc_id long, text string"), pairwise).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {d: low[c] for c, (d, _) in zip(groups, rows)}
+
+
 def test_no_group_is_lost_with_null_or_repeated_ids(spark):
     rows = [(None, "a a a"), (None, "b b b"), (1, "c c c"), (None, "c c c"), (4, None), (3, " "), (7, "A b"), (7, "a b"), (7, "other text"), (7, "other text")]
     rows += [(20 + i, f"text {i} of its own") for i in range(12)] + [(20 + i, f"text {i + 1} of its own") for i in range(12)]
