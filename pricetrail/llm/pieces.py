@@ -21,11 +21,11 @@ from pricetrail.llm.arrays import binary, flat, once, ragged, steps, xxh64
 from pricetrail.llm.frames import text_batches
 
 #: Characters indexed by one suffix array; a longer single chunk is an index of its own.
-INDEX_CHARS = 400_000
+INDEX_CHARS = 200_000
 #: Bytes of text whose distinct chunks are encoded together.
-TEXT_BYTES = 2_500_000
+TEXT_BYTES = 1_250_000
 #: Chunks a worker remembers between steps, about forty bytes each.
-SEEN_CHUNKS = 1_000_000
+SEEN_CHUNKS = 500_000
 #: Chunks of more characters are relaxed with a heap, shorter ones all at once.
 LONG_CHUNK = 200
 _SPACE_PIECE = "▁"
