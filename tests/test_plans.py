@@ -99,6 +99,27 @@ def test_live_comparison(spark):
     assert (row.live_status, row.issue_code, row.changed_fields) == ("error", "timeout", None)
 
 
+def test_live_cards_met_by_product_give_the_same_rows(spark):
+    runs = spark.createDataFrame([(7, "web"), (7, "twice")], "id bigint, source string")
+    url = "https://shop.example/tomato"
+    cards = spark.createDataFrame([
+        (url, "success", True, None, "Tomato Premium", "sku-11 ", D("47.90"), D("59.90"), True, True, "1 kg", "tomato"),
+        (url, "error", False, "timeout") + (None,) * 8, (None, "success", True) + (None,) * 9,
+    ], LIVE)
+    shot = card_snapshot(spark)
+    expected = live.live_comparison(plans.product_details(shot, products(spark), runs), cards).collect()
+    got = live.live_comparison(plans.product_details(shot, products(spark), runs, beside=cards)).collect()
+    assert len(got) == 4 and sorted(map(str, got)) == sorted(map(str, expected))
+
+
+def test_runs_are_met_before_product_texts(spark):
+    runs = spark.createDataFrame([(7, "web")], "id bigint, source string")
+    plan = plans.product_details(card_snapshot(spark), products(spark), runs)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    # The outer join is the product's: the shuffle by run carries snapshots only.
+    assert "Inner" in joins[0] and "LeftOuter" in joins[1]
+
+
 def test_tree(spark):
     rows = spark.createDataFrame(
         [(21, at("2026-03-24 10:00"), None, "ok", 5, 4, 1), (18, at("2026-03-24 08:45"), None, "error", 3, 1, 2),
