@@ -191,3 +191,60 @@ def test_many_blank_addresses_are_spread(spark):
         by_url[url], state[p] = p, (url, ext)
         by_ext.setdefault(ext, set()).add(p)
         assert got[seq] == p, seq
+
+
+def test_texts_are_written_once(spark, monkeypatch):
+    """Numbering and places once wrote every observation with its texts again."""
+    from pricetrail.operators import identity, numbering, observations
+
+    written = []
+    for module in (observations, identity, numbering):
+        if hasattr(module, "cut"):
+            monkeypatch.setattr(module, "cut", lambda df, cut=module.cut: (written.append(df.columns), cut(df))[1])
+    results, _, _ = run(spark, [obs(i, url=f"u{i % 3}", ext=f"e{i % 3}") for i in range(9)])
+    assert len(results) == 9 and sum("name" in columns for columns in written) == 1
+
+
+@pytest.mark.parametrize("hot_rows", [None, 30])
+def test_many_late_products_and_arrivals_below_zero(spark, hot_rows):
+    """Products that are settled side by side, a long one, and rows that move between products, from -2**62 on."""
+    rng = random.Random(21)
+    rows = _random_rows(rng, 40, ["a", "b"], ["x", "y", None], 0.4)
+    for seq in range(40, 340):
+        own = 0 if rng.random() < 0.2 else rng.randrange(30)
+        rows.append(obs(seq, url=f"own{own}", ext=f"id{own}", price=rng.choice(["1", "2", None]), old=rng.choice([None, "3"]),
+                        promo=rng.random() < 0.5, stock=rng.random() < 0.5, hours=rng.randrange(60), name=f"n{seq}"))
+    rows = [(r[0] - 2**62, *r[1:]) for r in rows]
+    products = [(4, "id1", "old", "own1", None, None, None, T0, None), (9, "x", "old", "zz", None, None, None, T0, None)]
+    snapshots = [(50, 1, 4, T0 + dt.timedelta(hours=20), D("1"), None, False, True, None)]
+    expected, table = one_by_one(rows, products, snapshots)
+    results, got, _ = run(spark, rows, products, snapshots, hot_rows)
+    assert results == expected and got == table
+
+
+def test_rows_decided_side_by_side_match_one_by_one():
+    """Batches cut anywhere, groups that go on in the next one."""
+    import numpy as np
+
+    from pricetrail.operators.observations import decide_in_order
+
+    rng = np.random.default_rng(5)
+    group = np.sort(rng.choice(60, 900, p=np.r_[[0.3], np.full(59, 0.7 / 59)]))
+    at, order, valid = rng.integers(0, 9, 900), np.arange(900), rng.random(900) < 0.8
+    state = rng.integers(0, 2, (900, 3))
+    expected, best, last = [], None, None
+    for g, when, own, good, now in zip(group.tolist(), at.tolist(), order.tolist(), valid.tolist(), map(tuple, state.tolist())):
+        best, last = (best if g == last else None), g
+        keeps = good and (best is None or best[2] != now)
+        expected.append((keeps, own if keeps else best[1] if best else None))
+        if keeps and (best is None or (when, own) > best[:2]):
+            best = (when, own, now)
+    got, held, begin = [], None, 0
+    for end in [1, 2, 70, 400, 401, 820, 900]:
+        s = slice(begin, end)
+        if begin and group[begin] != group[begin - 1]:
+            held = None
+        stored, meant, none, held = decide_in_order(group[s], at[s], order[s], valid[s], state[s], held)
+        got += [(bool(k), None if n else int(m)) for k, m, n in zip(stored, meant, none)]
+        begin = end
+    assert got == expected
