@@ -93,7 +93,9 @@ def store_observations(
         F.col("snapshot_id").alias("id"), "run_id", "product_id",
         F.col("observed_at").alias("captured_at"), *STATE, "queue_id",
     )
-    born = placed.where("born IS NOT NULL AND rank = first_rank").select("born", product.alias("id"))
+    born = placed.where("born IS NOT NULL AND rank = first_rank").select(
+        "born", product.alias("id"), F.col("observed_at").alias("born_at")
+    )
     told = _last_told(arrived, owners, born)
     return StoreResult(
         results, new_snapshots, _merged(products, told, "full_outer"), _merged(products, told, "right_outer")
@@ -348,7 +350,8 @@ def _last_told(arrived: DataFrame, owners: identity.Owners, born: DataFrame) ->
         F.min_by("first_at", "first_seq").alias("first_at"),
     )
     return told.join(born, "born", "left").select(
-        F.coalesce("stored_id", "id").alias("product_id"), F.col("new.url").alias("url"), "new.shown.*", "new_ext", "first_at"
+        F.coalesce("stored_id", "id").alias("product_id"), F.col("new.url").alias("url"), "new.shown.*", "new_ext",
+        F.coalesce("born_at", "first_at").alias("first_at"),
     )
 
 
