@@ -1,10 +1,13 @@
 import datetime as dt
 import random
+import time
 from decimal import Decimal as D
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from pricetrail.operators import identity
 from pricetrail.operators.observations import store_observations
 
 OBS = ("seq bigint, run_id bigint, queue_id bigint, external_id string, name string, url string, slug string, "
@@ -248,3 +251,17 @@ def test_rows_decided_side_by_side_match_one_by_one():
         got += [(bool(k), None if n else int(m)) for k, m, n in zip(stored, meant, none)]
         begin = end
     assert got == expected
+
+
+def test_the_smallest_holder_of_an_id_is_found_without_looking_at_all():
+    """Each pair of rows takes the smallest product with an id, and gives it another id."""
+    n = 20_000
+    known = [("c", -1, f"u{i}", "e", i, True) for i in range(n)]
+    rows = [("c", 2 * i + k, f"new{i}", "ef"[k], None, True) for i in range(n) for k in range(2)]
+    columns = list(zip(*known, *rows))
+    schema = pa.schema({"component": pa.string(), "seq": pa.int64(), "url": pa.string(), "external_id": pa.string(), "stored_id": pa.int64(), "keep": pa.bool_()})
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
+    began = time.process_time()
+    out = pa.Table.from_batches(identity._fold(iter([batch])))
+    assert time.process_time() - began < 6
+    assert out["product_id"].to_pylist() == [i // 2 for i in range(2 * n)] and out["born_seq"].null_count == 2 * n
